@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, table, where_id
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.linededup import line_dedup, without_lines
 from quillon.llm.neardup import near_duplicates
@@ -18,8 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model doesn't reject. The model learns from the
     labelled rows of the raw table. Rows without an id go if one of them is rejected."""
     model = learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rejected = toxicity(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    rejected = toxicity(docs, model).filter("predicted = 1").select("doc_id")
+    return where_id(docs, rejected, "left_anti")
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    kept = cut(near_duplicates(docs), "copies").filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = cut(near_duplicates(docs), "copies").filter("kept").select("doc_id")
+    return where_id(docs, kept, "left_semi")
 
 
 def benchmarks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers that start elsewhere import this package where nothing else does."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,8 +31,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{columns.index(n)}").alias(n) for n in names])
 
 
+def where_id(df: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df, with all its columns, whose id is ("left_semi") or isn't
+    ("left_anti") in the one column of ids. Null equals null."""
+    columns = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(columns))])
+    hit = ids.toDF("_hit").distinct()
+    return plain.join(hit, F.col(f"_{columns.index(id_col)}").cast("long").eqNullSafe(F.col("_hit")), how).toDF(*columns)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long and text string, null texts as empty ones."""
+    find_package(df.sparkSession)
     return pick(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

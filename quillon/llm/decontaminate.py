@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_chunks, pick, table, text_buffers
+from .common import documents, in_chunks, pick, table, text_buffers, where_id
 from .shingles import mix, shingles, words
 
 K, THRESHOLD = 5, 0.8
@@ -168,9 +168,7 @@ def contained_items(df: DataFrame, benchmark: DataFrame, k: int = K, threshold:
 def decontaminate(df: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of df, as they are, that hold no item. Rows without an id are tested as
     well; one that holds an item takes all rows without an id with it."""
-    found = contained_items(df, benchmark, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    column = how.get("id_col", "doc_id")
-    return df.join(found, df[column].cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    return where_id(df, contained_items(df, benchmark, **how).select("doc_id"), "left_anti", how.get("id_col", "doc_id"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,10 +120,9 @@ def weights(pages: Iterator[str]) -> dict[str, float]:
             continue
         for t in tokens(page):
             (within if t.inside and not t.bad else without)[t.key] += 1
-    a, b = sum(within.values()) + 1, sum(without.values()) + 1
     out = {}
     for key in within.keys() | without.keys():
-        odds = log((within[key] + 0.5) / a) - log((without[key] + 0.5) / b)
+        odds = log((within[key] + 0.5) / (without[key] + 0.5))
         if key.startswith("w:"):
             out[key] = 1.0 if odds > 0 else -1.0
         else:  # tags cost

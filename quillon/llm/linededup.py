@@ -113,10 +113,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def without_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with these lines taken out of its texts; all rows and columns stay."""
-    r = removed.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    out = df.join(r, df[id_col].cast("long").eqNullSafe(F.col("_id")), "left")
-    left = F.array_join(F.transform(F.filter(F.arrays_zip(F.split(text_col, "\n").alias("l"), F.sequence(F.lit(0), F.size(F.split(text_col, "\n")) - 1).alias("n")), lambda z: ~F.array_contains(F.col("_removed"), z["n"])), lambda z: z["l"]), "\n")
-    return out.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left)).select(df.columns)
+    columns = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(columns))])
+    at, text = f"_{columns.index(id_col)}", f"_{columns.index(text_col)}"
+    out = plain.join(removed.toDF("_id", "_removed"), F.col(at).cast("long").eqNullSafe(F.col("_id")), "left")
+    lines = F.arrays_zip(F.split(text, "\n").alias("l"), F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1).alias("n"))
+    left = F.array_join(F.transform(F.filter(lines, lambda z: ~F.array_contains("_removed", z["n"])), lambda z: z["l"]), "\n")
+    return out.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)).select(plain.columns).toDF(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
