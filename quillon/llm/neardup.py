@@ -221,16 +221,15 @@ def near_duplicates(df: DataFrame, k: int = K, threshold: float = THRESHOLD, ban
     star = member.join(leader, "band").filter("node <> l.node").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
     bags = cut(bags_of(docs.join(central.select("node", "doc_id"), "doc_id"), k), "op1-bags")
     links = cut(verified(star, bags, threshold), "op1-links")
-    root = cut(components(links, "op1-roots"), "op1-roots")
-    still, step = open_members(member, bags, root, threshold), 0
+    still, step = open_members(member, bags, cut(near_roots(links), "op1-near"), threshold), 0
     while True:
         pairs = meeting(still, step)
         more = cut(verified(pairs if step else pairs.unionByName(crossing(still, threshold)).distinct(), bags, threshold), "op1-links")
         if more.isEmpty():
             break
         links, step = links.unionByName(more), step + 1
-        root = cut(components(links, "op1-roots"), "op1-roots")
-        still = cut(with_root(still.drop("root", "size"), root).filter(F.col("size") > WHOLE), "op1-open")
+        still = cut(with_root(still.drop("root", "size"), near_roots(links)).filter(F.col("size") > WHOLE), "op1-open")
+    root = cut(components(links, "op1-roots"), "op1-roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_node = cut(nodes.join(root, "node", "left").join(degree, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "op1-classes")
     sizes = of_node.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -252,6 +251,15 @@ def open_members(member: DataFrame, bags: DataFrame, root: DataFrame, threshold:
     return cut(with_root(m, root), "op1-open")
 
 
+def near_roots(links: DataFrame) -> DataFrame:
+    """node, root: the least node within two links. Nodes with one root are in one
+    component; a component of a larger diameter may have several roots, which costs
+    comparisons but no links."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.join(one.toDF("b", "m"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root"))
+
+
 def with_root(m: DataFrame, root: DataFrame) -> DataFrame:
     """m with a hash of each node's root, and the size of its band; bands within one
     component are left out."""
