@@ -176,11 +176,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH w AS (SELECT item_id AS id, true AS item, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), x -> x <> '') AS w FROM benchmark
+WITH w AS (SELECT item_id AS id, true AS item, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM benchmark
            UNION ALL
-           SELECT doc_id, false, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), x -> x <> '') FROM documents),
+           SELECT doc_id, false, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') FROM documents),
      s AS (SELECT DISTINCT id, item, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                  ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM w WHERE len(w) > 0),
+                  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w WHERE len(w) > 0),
      n AS (SELECT id, count(*) AS n FROM s WHERE item GROUP BY id),
      m AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n_shared FROM s q JOIN s d ON q.s = d.s WHERE q.item AND NOT d.item GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment
