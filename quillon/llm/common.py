@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A sieve has so many bits at most, 8 MB in all, and so may be broadcast at any scale.
+SIEVE_BITS = 1 << 26
+
+
+def sieved(df: DataFrame, number: Column, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose number (a 64-bit hash) may be in the one column of wanted: all
+    that are, and few others while wanted has far fewer rows than SIEVE_BITS. Put before
+    a join, it spares the shuffle of rows that can't match; the join still decides."""
+    at = F.pmod(wanted[wanted.columns[0]], F.lit(SIEVE_BITS))
+    bits = wanted.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    columns, own = df.columns, F.pmod(number, F.lit(SIEVE_BITS))
+    d = df.withColumns({"_bucket": F.bitmap_bucket_number(own), "_bit": F.bitmap_bit_position(own).cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return d.join(F.broadcast(bits), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).select(*columns)
+
+
 def is_held(modulus: int, remainder: int, id_col: str = "doc_id"):
     """crc32 of the id as text, modulo: the fixed folds. A null id is in no fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, table
+from .common import cut, documents, sieved, table
 
 #: Lines of fewer words have exact copies only: one edit would be over a fifth of them.
 LEAST_WORDS = 5
@@ -33,16 +33,23 @@ def word_list(line: Column) -> Column:
     return F.filter(F.split(line, r"[ \t\r\f\x0B]+"), lambda w: w != "")
 
 
-def halves(distinct: DataFrame) -> DataFrame:
-    """key, half: for a line of n words, hashes of its first and last words around the
+def halves(long: DataFrame) -> DataFrame:
+    """h, half: for a line of n words, hashes of its first and last words around the
     middle, for itself and for a partner with one word less."""
     w, n = F.col("w"), F.size("w")
     out = []
     for m in (n, n - 1):  # of the shorter line of a pair, or of both
-        h = F.floor(m / 2).cast("int")
-        out.append(F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), h)))
-        out.append(F.xxhash64(F.lit(1), m, F.slice(w, n - (m - h) + 1, m - h)))
-    return distinct.select("key", "first", F.explode(F.array(*out)).alias("half"))
+        k = F.floor(m / 2).cast("int")
+        out.append(F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), k)))
+        out.append(F.xxhash64(F.lit(1), m, F.slice(w, n - (m - k) + 1, m - k)))
+    return long.select("h", F.explode(F.array(*out)).alias("half"))
+
+
+def partnered(long: DataFrame) -> DataFrame:
+    """h of lines that share a half with another one. Equal lines count as one."""
+    half = halves(long)
+    shared = cut(half.groupBy("half").agg(F.min("h").alias("_l"), F.max("h").alias("_h")).filter("_l <> _h").select("half"), "op9-halves")
+    return cut(sieved(half, F.col("half"), shared).join(shared, "half", "left_semi").select("h").distinct(), "op9-partnered")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -68,13 +75,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return less(a, F.col("cut")) == less(b, F.col("other_cut"))
 
 
-def near_copies(distinct: DataFrame) -> DataFrame:
-    """key, near (first place of the earliest line one edit away that comes before it)."""
-    long = distinct.filter(F.size("w") >= LEAST_WORDS)
-    half = halves(long)
-    shared = half.groupBy("half").agg(F.min("key").alias("_l"), F.max("key").alias("_h")).filter("_l <> _h").select("half")
-    some = half.join(shared, "half", "left_semi").select("key").distinct()
-    lines = cut(long.join(some, "key", "left_semi"), "op9-lines")
+def near_copies(lines: DataFrame) -> DataFrame:
+    """key, near (first place of the earliest line one edit away that comes before it),
+    of lines (key, first, w)."""
     v = cut(variants(lines), "op9-variants")
     # the earliest line of each variant: by deleted place for replaced words, without one for words left out
     at = v.groupBy("variant", "cut").agg(F.min(F.struct("first", "key")).alias("m"))
@@ -103,11 +106,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = documents(df, id_col, text_col)
     lines = lines_of(docs).filter(F.col("line").rlike(r"[^ \t\r\f\x0B]"))
     place = F.struct("doc_id", "no")
-    exact = lines.groupBy(line_key(F.col("line")).alias("key")).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("line").alias("line"))
-    distinct = cut(exact.select("key", "first", (F.col("first") < F.col("last")).alias("several"), word_list(F.col("line")).alias("w")), "op9-distinct")
-    near = cut(near_copies(distinct), "op9-near")
-    verdict = distinct.select("key", "first", "several").join(near, "key", "left").filter("several or near is not null")
-    hit = lines.select("doc_id", "no", line_key(F.col("line")).alias("key")).join(verdict, "key").filter(F.col("near").isNotNull() | (F.col("first") < place))
+    keyed = lines.select("doc_id", "no", line_key(F.col("line")).alias("key"))
+    exact = cut(keyed.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).select("key", "first", (F.col("first") < F.col("last")).alias("several")), "op9-distinct")
+    # text is moved for lines that may have near copies only
+    long = lines.select("line", F.xxhash64("line").alias("h"), word_list(F.col("line")).alias("w")).filter(F.size("w") >= LEAST_WORDS)
+    some = partnered(long)
+    texts = sieved(long.select("h", "line"), F.col("h"), some).join(some, "h", "left_semi").groupBy(line_key(F.col("line")).alias("key")).agg(F.first("line").alias("line"))
+    texts = texts.join(exact.select("key", "first"), "key").select("key", "first", word_list(F.col("line")).alias("w"))
+    near = cut(near_copies(cut(texts, "op9-lines")), "op9-near")
+    verdict = cut(exact.join(near, "key", "left").filter("several or near is not null"), "op9-verdicts")
+    mark = F.xxhash64("key")
+    hit = sieved(keyed, mark, verdict.select(mark)).join(verdict, "key").filter(F.col("near").isNotNull() | (F.col("first") < place))
     return hit.select("doc_id", "no").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("no")).alias("removed"))
 
 
