@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,18 @@ def java_format(fmt: str, table: dict[str, str]) -> str:
     return "".join(out)
 
 
+SHAPES = {"Y": r"\d{4}", "b": r"\p{L}+\.?", "B": r"\p{L}+", "p": r"\p{L}+", "f": r"\d{1,6}"}
+
+
+def shape(fmt: str) -> str:
+    """A regular expression of what the format can read, so that other text costs no exception."""
+    return "^" + "".join(SHAPES.get(p[1], r"\d{1,2}") if len(p) == 2 and p[0] == "%" else re.escape(p) for p in re.findall(r"%.|[^%]+|%", fmt)) + "$"
+
+
 def parse(c: Column, formats: list[str] | None = None) -> Column:
     """A timestamp without time zone by the first format that fits, else null."""
-    tries = [F.try_to_timestamp(strip(c), F.lit(java_format(f, READ))) for f in formats or [*COMMON_FORMATS, *WITH_TIME]]
+    s = strip(c)
+    tries = [F.when(s.rlike(shape(f)), F.try_to_timestamp(s, F.lit(java_format(f, READ)))) for f in formats or [*COMMON_FORMATS, *WITH_TIME]]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -8,18 +8,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import numeric_profile, present, tidy
+from .profile import moments, numeric_columns, present, tidy
 
 
 def bounds(df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns: list[str] | None = None) -> DataFrame:
     """column_name, low, high: values outside are outliers. A column without spread has none."""
-    p = numeric_profile(df, columns)
     if method == "iqr":
+        q = {c: F.percentile(present(df, c), F.array(F.lit(0.25), F.lit(0.75))) for c in numeric_columns(df, columns)}
+        p = tidy(df, {c: {"q25": v[0], "q75": v[1]} for c, v in q.items()})
         spread = F.col("q75") - F.col("q25")
         return p.select("column_name", (F.col("q25") - threshold * spread).alias("low"), (F.col("q75") + threshold * spread).alias("high"))
     if method == "zscore":
         spread = F.nullif("std", F.lit(0.0))
-        return p.select("column_name", (F.col("mean") - threshold * spread).alias("low"), (F.col("mean") + threshold * spread).alias("high"))
+        return moments(df, columns).select("column_name", (F.col("mean") - threshold * spread).alias("low"), (F.col("mean") + threshold * spread).alias("high"))
     raise ValueError("method is iqr or zscore")
 
 

@@ -88,9 +88,9 @@ def matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pears
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Null instead of not-a-number where a column doesn't vary."""
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    """Over rows that have both values; null where a column doesn't vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def correlations(df: DataFrame, threshold: float = 0.7, method: str = "pearson", columns: list[str] | None = None) -> DataFrame:

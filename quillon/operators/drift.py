@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import numeric_columns, numeric_profile, value_counts
+from .profile import moments, numeric_columns, value_counts
 
 
 def numeric_drift(df: DataFrame, reference: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, drift: half of the sum of the differences of mean and standard deviation."""
     both = set(numeric_columns(df)) & set(numeric_columns(reference))
     cols = [c for c in columns or df.columns if c in both]
-    a, b = (numeric_profile(d, cols, exact=False).select("column_name", F.col("mean").alias(f"m{i}"), F.coalesce("std", F.lit(0.0)).alias(f"s{i}")) for i, d in ((0, df), (1, reference)))
+    a, b = (moments(d, cols).select("column_name", F.col("mean").alias(f"m{i}"), F.coalesce("std", F.lit(0.0)).alias(f"s{i}")) for i, d in ((0, df), (1, reference)))
     return a.join(F.broadcast(b), "column_name").select("column_name", ((F.abs(F.col("m0") - F.col("m1")) + F.abs(F.col("s0") - F.col("s1"))) / 2).alias("drift"))
 
 

@@ -22,8 +22,15 @@ def with_range(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
     if not bounds:
         return df.withColumn("_range", F.lit(0))
     kind = df.schema[order].dataType
-    tree = [F.lit(b).cast(kind) for b in bounds]
-    return df.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(F.array(*tree), lambda b: b <= F.col(order)))))
+
+    def place(low: int, high: int) -> Column:
+        """How many bounds are at most the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(order) < F.lit(bounds[mid]).cast(kind), place(low, mid)).otherwise(place(mid + 1, high))
+
+    return df.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(place(0, len(bounds))))
 
 
 def running_sum(df: DataFrame, order: str, weight: Column, name: str) -> DataFrame:

@@ -21,6 +21,10 @@ from .types import LogicalType, of_spark, physical, spark_type
 BUCKETS = (255, 1000, 5000)
 
 
+def given(v: object) -> bool:
+    return v is not None and v is not False and v != []
+
+
 @dataclass
 class ColumnDefinition:
     name: str
@@ -99,7 +103,7 @@ class CanonicalSchema:
         """Governance goes along as field metadata."""
         fields = []
         for c in self.columns:
-            meta = {k: v for k, v in asdict(c).items() if v not in (None, [], False) and k not in ("name", "logical_type", "nullable", "precision", "scale")}
+            meta = {k: v for k, v in asdict(c).items() if given(v) and k not in ("name", "logical_type", "nullable", "precision", "scale")}
             fields.append(T.StructField(c.name, spark_type(c.logical_type, c.precision, c.scale), c.nullable, meta | {"logical_type": c.logical_type.value}))
         return T.StructType(fields)
 
@@ -189,7 +193,7 @@ def load_yaml(path: str, env: dict | None = None) -> CanonicalSchema:
 def save_yaml(schema: CanonicalSchema, path: str) -> None:
     import yaml
 
-    tidy_up = lambda d: {k: v for k, v in d.items() if v not in (None, [], False)}
+    tidy_up = lambda d: {k: v for k, v in d.items() if given(v)}
     out = schema.to_dict()
     out["columns"] = [tidy_up(c | {"logical_type": c["logical_type"].upper()}) | {"nullable": c["nullable"]} for c in out["columns"]]
     if out.get("optimization"):

@@ -111,7 +111,7 @@ def create_table(schema: CanonicalSchema, platform: str, if_not_exists: bool = F
         out += [f"PARTITIONED BY ({cols(h.partition_columns)})"] * bool(h.partition_columns)
         if h.cluster_columns:
             out.append(f"CLUSTERED BY ({cols(h.cluster_columns)})" + f" SORTED BY ({cols(h.sort_columns)})" * bool(h.sort_columns) + f" INTO {buckets} BUCKETS")
-        out += [f"COMMENT '{_q(schema.description)}'"] * bool(schema.description)
+        out += [f"COMMENT '{_q(schema.description or '')}'"] * bool(schema.description)
     return "\n".join(["\n".join(out) + ";", *after])
 
 
