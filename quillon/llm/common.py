@@ -74,7 +74,8 @@ SIEVE_BITS = 1 << 26
 def sieved(df: DataFrame, number: Column, wanted: DataFrame) -> DataFrame:
     """The rows of df whose number (a 64-bit hash) may be in the one column of wanted: all
     that are, and few others while wanted has far fewer rows than SIEVE_BITS. Put before
-    a join, it spares the shuffle of rows that can't match; the join still decides."""
+    an inner join, it spares the shuffle of rows that can't match; the join still decides.
+    (The optimizer would move a semi join below it.)"""
     at = F.pmod(wanted[wanted.columns[0]], F.lit(SIEVE_BITS))
     bits = wanted.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     columns, own = df.columns, F.pmod(number, F.lit(SIEVE_BITS))

@@ -49,7 +49,7 @@ def partnered(long: DataFrame) -> DataFrame:
     """h of lines that share a half with another one. Equal lines count as one."""
     half = halves(long)
     shared = cut(half.groupBy("half").agg(F.min("h").alias("_l"), F.max("h").alias("_h")).filter("_l <> _h").select("half"), "op9-halves")
-    return cut(sieved(half, F.col("half"), shared).join(shared, "half", "left_semi").select("h").distinct(), "op9-partnered")
+    return cut(sieved(half, F.col("half"), shared).join(shared, "half").select("h").distinct(), "op9-partnered")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # text is moved for lines that may have near copies only
     long = lines.select("line", F.xxhash64("line").alias("h"), word_list(F.col("line")).alias("w")).filter(F.size("w") >= LEAST_WORDS)
     some = partnered(long)
-    texts = sieved(long.select("h", "line"), F.col("h"), some).join(some, "h", "left_semi").groupBy(line_key(F.col("line")).alias("key")).agg(F.first("line").alias("line"))
+    texts = sieved(long.select("h", "line"), F.col("h"), some).join(some, "h").groupBy(line_key(F.col("line")).alias("key")).agg(F.first("line").alias("line"))
     texts = texts.join(exact.select("key", "first"), "key").select("key", "first", word_list(F.col("line")).alias("w"))
     near = cut(near_copies(cut(texts, "op9-lines")), "op9-near")
     verdict = cut(exact.join(near, "key", "left").filter("several or near is not null"), "op9-verdicts")
