@@ -25,9 +25,11 @@ from .shingles import mix, shingles, words
 
 K, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Bands with at most so many open members are compared pair by pair, larger ones with
-#: ever other leaders until a round finds no link.
-WHOLE = 50
+#: Bands of more open members than these are first compared with other leaders for a few
+#: rounds, which only spares comparisons: all that is open then is compared by rare shingles.
+WHOLE, ROUNDS = 50, 3
+#: A shingle in the prefixes of more nodes than these is compared in blocks of so many.
+BLOCK = 1000
 CHUNK = 2_000_000
 U = np.uint64
 MASK = 2**64 - 1
@@ -203,11 +205,10 @@ def near_duplicates(df: DataFrame, k: int = K, threshold: float = THRESHOLD, ban
     The members of a band are compared with one leader, the member that meets most others
     in all its bands. A member stays open while its band spans components and the shingles
     that it shares with other components could make it similar to one of their documents.
-    Open members of a band are then compared pair by pair where they are at most WHOLE, and
-    else with other leaders, one for each band and round, until a round finds no link. All
-    this grows with the documents, not with the square of a family of copies. A link is
-    lost if its two documents share no band, or if in all large bands that they share
-    neither is led to the other's component.
+    Open members of bands of more than WHOLE are compared with other leaders, one for each
+    band and round, in at most ROUNDS, which settles families of copies. All members that
+    are open then are compared by rare(): of these no link between two components is lost.
+    What is lost are links of documents that share no band.
     """
     docs = documents(df, id_col, text_col)
     sketch = cut(sketches(docs, k, bands, depth), "op1-sketches")
@@ -221,15 +222,19 @@ def near_duplicates(df: DataFrame, k: int = K, threshold: float = THRESHOLD, ban
     star = member.join(leader, "band").filter("node <> l.node").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
     bags = cut(bags_of(docs.join(central.select("node", "doc_id"), "doc_id"), k), "op1-bags")
     links = cut(verified(star, bags, threshold), "op1-links")
-    still, step = open_members(member, bags, cut(near_roots(links), "op1-near"), threshold), 0
-    while True:
-        pairs = meeting(still, step)
-        more = cut(verified(pairs if step else pairs.unionByName(crossing(still, threshold)).distinct(), bags, threshold), "op1-links")
+    opened = open_members(member, bags, cut(near_roots(links), "op1-near"), threshold)
+    still, step = opened.filter(F.col("size") > WHOLE), 0
+    while step < ROUNDS:
+        more = cut(verified(meeting(still, step), bags, threshold), "op1-links")
         if more.isEmpty():
             break
         links, step = links.unionByName(more), step + 1
-        still = cut(with_root(still.drop("root", "size"), near_roots(links)).filter(F.col("size") > WHOLE), "op1-open")
+        still = cut(with_root(still.drop("root", "size"), near_roots(links)), "op1-open")
     root = cut(components(links, "op1-roots"), "op1-roots")
+    last = cut(verified(rare(opened, bags, root, threshold), bags, threshold), "op1-links")
+    if not last.isEmpty():
+        links = links.unionByName(last)
+        root = cut(components(root.toDF("a", "b").unionByName(last), "op1-roots"), "op1-roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_node = cut(nodes.join(root, "node", "left").join(degree, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "op1-classes")
     sizes = of_node.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -274,13 +279,26 @@ def meeting(m: DataFrame, step: int) -> DataFrame:
     return m.join(lead, "band").filter("root <> l.root").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def crossing(m: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of members of a band of at most WHOLE in different components that may be similar."""
-    m = m.filter(F.col("size") <= WHOLE).drop("size")
-    o = m.toDF(*[f"{c}_b" if c != "band" else c for c in m.columns])
-    most = F.least("most", "most_b")
-    pairs = m.join(o, "band").filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & (most >= threshold * (F.col("weight") + F.col("weight_b") - most) - 1e-9))
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+def rare(opened: DataFrame, bags: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of open members in different components that may be similar, by prefix
+    filter. Only shingles that several components have count. From the rarest to the most
+    frequent, the first one that two similar documents share leaves enough weight behind it
+    in both: threshold of the larger one's weight, and 2 threshold / (1 + threshold) of the
+    smaller one's."""
+    m = with_root(opened.select("band", "node", "weight"), root).select("node", "weight", "root").distinct()
+    cells = cut(unbag(bags.join(m.select("node", "root"), "node")), "op1-cells")
+    several = cells.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count(F.lit(1)).alias("f")).filter("_l <> _h").select("s", "f")
+    onward = Window.partitionBy("node").orderBy(F.desc("f"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = cells.join(several, "s").withColumn("ahead", F.sum("n").over(onward)).join(m.select("node", "weight"), "node")
+    prefix = cut(ahead.filter(F.col("ahead") >= threshold * F.col("weight") - 1e-9).select("s", "node", "root", "weight", "ahead"), "op1-prefixes")
+    blocks = prefix.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("_l <> _h").select("s", "blocks")
+    p = prefix.join(blocks, "s").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    x = p.filter(F.col("ahead") >= 2 * threshold / (1 + threshold) * F.col("weight") - 1e-9)
+    y = p.select("s", F.col("other").alias("own"), F.col("own").alias("other"), *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "weight", "ahead")])
+    smaller = (F.col("weight") < F.col("weight_y")) | ((F.col("weight") == F.col("weight_y")) & (F.col("node") < F.col("node_y")))
+    enough = F.least("ahead", "ahead_y") >= threshold / (1 + threshold) * (F.col("weight") + F.col("weight_y")) - 1e-9
+    pairs = x.join(y, ["s", "own", "other"]).filter(smaller & enough & (F.col("root") != F.col("root_y")))
+    return pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

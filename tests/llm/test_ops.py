@@ -90,6 +90,15 @@ def test_neardup(spark, rows):
     assert neardup.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_neardup_within_large_bands(spark):
+    """Documents around one template, 0.797 alike, of which 40 pairs are 0.804 alike."""
+    template = [f"t{i}" for i in range(200)]
+    docs = [(i, " ".join([*template, f"p{i // 2}" if i < 80 else f"q{i}", *[f"u{i}x{j}" for j in range(24)]])) for i in range(200)]
+    assert similarity(bag(docs[0][1]), bag(docs[1][1])) >= 0.8 > similarity(bag(docs[1][1]), bag(docs[2][1]))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(make(spark, docs)).collect()}
+    assert got == {i: (i - i % 2, 2) if i < 80 else (i, 1) for i in range(200)}
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.Generator(np.random.PCG64(1))
     s = rng.integers(1, 2**62, 40).astype(np.uint64)
