@@ -4,8 +4,9 @@ The model interpolates bigrams with unigrams. Unigram counts are exact: texts ar
 into buckets, each bucket sends its distinct words to the segments that sum them, and gets
 their counts back. Bigram counts are quantised on a geometric grid; a bigram of level j
 puts (bigram, 1) to (bigram, j) into a Bloom filter, so probing levels in turn until one is
-missing gives its quantised count. The filter has a segment for each range of hashes, is
-bounded by MAX_BYTES and broadcast. The weight of a bigram depends on how often its first
+missing gives its quantised count. The filter has a segment for each range of hashes and
+grows with the entries. Up to MAX_BYTES it is broadcast; beyond that each bucket sends its
+distinct bigrams to their segments and gets their counts back. The weight of a bigram depends on how often its first
 word occurs and is fitted by EM on one bucket of training documents, each left out in turn.
 """
 
@@ -24,8 +25,8 @@ from .shingles import mix, words
 
 BUCKET_BYTES = 8_000_000
 SEGMENT_BYTES = 16_000_000
-#: Bits of the filter for each entry, hash functions, and most bytes of all segments. Beyond
-#: that the filter grows no more and takes more false positives, which raise counts.
+#: Bits of the filter for each entry, hash functions, and most bytes of all segments that
+#: are broadcast; a larger filter is probed by segment.
 BITS, HASHES, MAX_BYTES = 12, 4, 256_000_000
 GRID = np.unique(np.round(1.5 ** np.arange(60)).astype(np.int64))
 U = np.uint64
@@ -84,10 +85,11 @@ class Filter:
                 yield (a + U(k) * b) % bits
 
     @classmethod
-    def build(cls, h: np.ndarray, count: np.ndarray, most_bytes: int) -> tuple[int, np.ndarray]:
+    def build(cls, h: np.ndarray, count: np.ndarray, most_bytes: int | None = None) -> tuple[int, np.ndarray]:
         """One segment of distinct h."""
         j = level(count)
-        bits = int(min(max(64, BITS * int(j.sum())), 8 * most_bytes))
+        bits = max(64, BITS * int(j.sum()))
+        bits = bits if most_bytes is None else min(bits, 8 * most_bytes)
         flat = np.zeros(-(-bits // 8) * 8, bool)
         for x in range(1, int(j.max(initial=0)) + 1):
             for p in cls.places(h[j >= x], x, U(bits)):
@@ -150,7 +152,7 @@ def _numbers(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     return a, np.frombuffer(n, "u1" if len(n) == len(a) else "<u4").astype(np.int64)
 
 
-def _gather(blobs: DataFrame, segments: int, most_bytes: int) -> DataFrame:
+def _gather(blobs: DataFrame, segments: int) -> DataFrame:
     """Of each segment: its words' training counts by bucket (kind 0), its part of the
     filter (kind 1), and the numbers of its training tokens and words (kind 2)."""
 
@@ -185,7 +187,7 @@ def _gather(blobs: DataFrame, segments: int, most_bytes: int) -> DataFrame:
                 rows.append((seg, 0, bucket, x.tobytes(), n[np.searchsorted(h, x)].tobytes()))
         if two:
             h, n = counted(np.concatenate([x for _, x, _ in two]), np.concatenate([y for *_, y in two]))
-            bits, raw = Filter.build(h, n, most_bytes)
+            bits, raw = Filter.build(h, n)
             rows.append((seg, 1, bits, b"", raw.tobytes()))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["seg", "kind", "bucket", "h", "n"])
@@ -194,8 +196,29 @@ def _gather(blobs: DataFrame, segments: int, most_bytes: int) -> DataFrame:
     return sent.groupBy("seg").applyInArrow(add, "seg int, kind int, bucket long, h binary, n binary")
 
 
+def _probed(blobs: DataFrame, gathered: DataFrame, segments: int) -> DataFrame:
+    """bucket, h, n: the filter's counts of each bucket's distinct bigrams."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        found, bucket = [], group.column("bucket")[0].as_py()
+        for blob in group.column("blob"):
+            found.append(np.unique(bigrams(*tokens(*text_buffers(_unpack(blob.as_py()).column("text"))))[1]))
+        h = np.unique(np.concatenate(found))
+        rows = [(s, bucket, x) for s, x, _ in _send(h, np.zeros(len(h), np.int64), segments)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["seg", "bucket", "h"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        f = Filter([(bits, np.frombuffer(raw.as_buffer(), np.uint8)) for bits, raw in zip(right.column("bucket").to_pylist(), right.column("n"), strict=True)])
+        n = [(f.counts(np.frombuffer(x.as_buffer(), np.uint64)) if f.segments else np.zeros(len(x.as_buffer()) // 8, np.int64)).tobytes() for x in left.column("h")]
+        return pa.table([left.column("bucket"), left.column("h"), pa.array(n, pa.binary())], names=["bucket", "h", "n"])
+
+    asked = blobs.groupBy("bucket").applyInArrow(ask, "seg int, bucket int, h binary")
+    return asked.groupBy("seg").cogroup(gathered.filter("kind = 1").groupBy("seg")).applyInArrow(answer, "bucket int, h binary, n binary")
+
+
 class Counts:
-    """Exact training counts of a bucket's words."""
+    """Training counts of a bucket's words or bigrams."""
 
     def __init__(self, t: pa.Table):
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()] or [np.zeros(0, np.uint64)])
@@ -238,19 +261,23 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     size, starts = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0)), F.count_if(~is_held(5, 1))).first()
     buckets, segments = max(1, -(-size // bucket_bytes)), max(1, -(-size // segment_bytes))
     blobs = cut(_pack(docs, buckets), "op8-texts")
-    gathered = cut(_gather(blobs, segments, max_bytes // segments), "op8-counts")
+    gathered = cut(_gather(blobs, segments), "op8-counts")
     total, kinds, parts = 0, 0, [(64, np.zeros(8, np.uint8))] * segments
-    for r in gathered.filter("kind > 0").select("seg", "kind", "bucket", "n").toLocalIterator():
-        if r.kind == 2:
-            a, b = np.frombuffer(bytes(r.n), np.int64)
-            total, kinds = total + int(a), kinds + int(b)
-        else:
-            parts[r.seg] = (r.bucket, np.frombuffer(bytes(r.n), np.uint8))
-    bloom = spark.sparkContext.broadcast(Filter(parts))
-    counts = gathered.filter("kind = 0").select(F.col("bucket").cast("int").alias("bucket"), "h", "n")
+    for r in gathered.filter("kind = 2").select("n").toLocalIterator():
+        a, b = np.frombuffer(bytes(r.n), np.int64)
+        total, kinds = total + int(a), kinds + int(b)
+    whole = gathered.filter("kind = 1").agg(F.coalesce(F.sum(F.octet_length("n").cast("long")), F.lit(0))).first()[0] <= max_bytes
+    for r in gathered.filter("kind = 1").select("seg", "bucket", "n").toLocalIterator() if whole else []:
+        parts[r.seg] = (r.bucket, np.frombuffer(bytes(r.n), np.uint8))
+    bloom = spark.sparkContext.broadcast(Filter(parts)) if whole else None
+    counts = gathered.filter("kind = 0").select(F.col("bucket").cast("int").alias("bucket"), "h", "n", F.lit(0).alias("kind"))
+    if not whole:
+        counts = counts.unionByName(cut(_probed(blobs, gathered, segments), "op8-bigrams").withColumn("kind", F.lit(1)))
 
     def each(left: pa.Table, right: pa.Table):
-        look = Counts(right)
+        is_two = np.asarray(right.column("kind").to_numpy()) == 1
+        look = Counts(right.filter(pa.array(~is_two)))
+        two = bloom.value.counts if whole else Counts(right.filter(pa.array(is_two)))
         for blob in left.column("blob"):
             b = _unpack(blob.as_py())
             data, offsets = text_buffers(b.column("text"))
@@ -260,7 +287,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
             c1 = np.empty_like(c)
             c1[1:] = c[:-1]
             c1[before == START] = starts
-            yield b, at, c, c1, bloom.value.counts(pair)
+            yield b, at, c, c1, two(pair)
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         got = []

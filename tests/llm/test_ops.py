@@ -323,6 +323,14 @@ def test_lm(spark, rows):
     assert lm.lm_scores(make(spark, [])).count() == 0
 
 
+def test_lm_probes_a_large_filter_by_segment(spark, rows):
+    found = []
+    for most in (lm.MAX_BYTES, 64):
+        got = lm.lm_scores(make(spark, rows), bucket_bytes=30000, segment_bytes=40000, max_bytes=most).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got))
+    assert found[0] == found[1]
+
+
 def test_filter_counts():
     rng = np.random.Generator(np.random.PCG64(8))
     h, n = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), None
