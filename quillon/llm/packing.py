@@ -3,8 +3,8 @@
 Pieces of at most `size` tokens go into as few sequences as can be. Only the histogram of
 lengths matters for that, and it has at most `size` entries at any scale: the driver
 solves the configuration LP over it by multiplicative weights, pricing configurations with
-a knapsack dynamic program, rounds the solution down and fills what is left by best fit.
-The plan, a table of (length, range of ranks) -> (sequence, offset), is applied to the
+a knapsack dynamic program, rounds the solution, and packs the few pieces that rounding
+leaves by best fit. The plan, a table of (length, range of ranks) -> (sequence, offset), is applied to the
 pieces by their rank among those of their length.
 """
 
@@ -25,8 +25,9 @@ from .tokens import default_path, encoder
 
 SIZE = 1024
 END = 2
-ROUNDS = 600
-EPSILON = 0.05
+#: The program is priced in so many rounds at most, or until the cover is so close to the
+#: bound; each round takes so many steps of the weights, whose past counts by DAMPING.
+ROUNDS, GAP, STEPS, DAMPING = 60, 0.003, 120, 0.05
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
@@ -57,93 +58,147 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
     return docs.mapInArrow(run, PIECES)
 
 
-def price(value: np.ndarray, lengths: np.ndarray, size: int) -> Counter:
-    """The configuration (lengths that fit in size, repeats allowed) of the largest total
-    value, by dynamic programming over the capacity."""
+def price(value: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """best: the largest total value of lengths (repeats allowed) that fit in 0..size, by
+    dynamic programming over the capacity; pick: the place of one of them, -1 for none.
+    Of equal values the largest length is picked."""
     best, pick = np.zeros(size + 1), np.full(size + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(size + 1), side="right")
     for c in range(int(lengths[0]), size + 1):
-        m = np.searchsorted(lengths, c, side="right")
-        gain = best[c - lengths[:m]] + value[:m]
+        gain = (best[c - lengths[: fits[c]]] + value[: fits[c]])[::-1]
         k = int(np.argmax(gain))
-        best[c], pick[c] = (gain[k], k) if gain[k] > best[c - 1] else (best[c - 1], -1)
-    out, c = Counter(), size
+        best[c], pick[c] = (gain[k], fits[c] - 1 - k) if gain[k] > best[c - 1] else (best[c - 1], -1)
+    return best, pick
+
+
+def filled(first: int, pick: np.ndarray, lengths: np.ndarray, most: np.ndarray, size: int) -> tuple[tuple[int, int], ...]:
+    """The configuration of one piece of lengths[first] and the best filling of its rest,
+    with no more of a length than there are: sorted (place of the length, pieces)."""
+    out, c = Counter({first: 1}), size - int(lengths[first])
     while c > 0:
-        if pick[c] < 0:
+        k = int(pick[c])
+        if k < 0:
             c -= 1
         else:
-            out[int(lengths[pick[c]])] += 1
-            c -= int(lengths[pick[c]])
-    return out
+            if out[k] < most[k]:
+                out[k] += 1
+            c -= int(lengths[k])
+    return tuple(sorted(out.items()))
 
 
-def solve(histogram: dict[int, int], size: int, rounds: int = ROUNDS, epsilon: float = EPSILON) -> tuple[list[tuple[Counter, float]], float]:
+def solve(histogram: dict[int, int], size: int, rounds: int = ROUNDS, gap: float = GAP) -> tuple[list[tuple[Counter, float]], float]:
     """Fractional (configuration, sequences) pairs that cover the histogram, and a lower
-    bound on any covering, from the duals. Plotkin, Shmoys and Tardos: each round prices
-    the best configuration for the weights, adds it, and lowers the weights of what it
-    covers by a factor (1 - epsilon) to the power of its share."""
+    bound on any covering, from the duals.
+
+    It starts from a cover by configurations of one length each. Every round prices all
+    configurations by the knapsack program for the weights of the lengths, adds the best
+    one around each length, and lets weights act on both sides: a length's weight is
+    multiplied by a power of demand over coverage, a configuration's share by the value of
+    what it holds. The weights, scaled by the dearest configuration, are a dual solution.
+    It ends when the cover is within `gap` of the best bound."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], float)
-    weight = np.ones(len(lengths)) * lengths / size
-    at = {int(x): i for i, x in enumerate(lengths)}
-    chosen: dict[tuple, float] = {}
-    bound, covered = 0.0, np.zeros(len(lengths))
+    alone = np.minimum(size // lengths, demand)
+    known: dict[tuple, int] = {}
+    row, col, times, share = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+    def add(configs: list[tuple], shares: list[float]) -> None:
+        nonlocal row, col, times, share
+        new = [(c, x) for c, x in dict(zip(configs, shares, strict=True)).items() if c not in known]
+        cells = [(i, len(known) + j, n) for j, (c, _) in enumerate(new) for i, n in c]
+        known.update({c: len(known) + j for j, (c, _) in enumerate(new)})
+        if cells:
+            i, j, n = zip(*cells, strict=True)
+            row, col, times = np.append(row, i), np.append(col, j), np.append(times, n)
+            share = np.append(share, [x for _, x in new])
+
+    add([((i, int(n)),) for i, n in enumerate(alone)], (demand / alone).tolist())
+    base = lengths / size
+    weight, bound, best_cover, kept, best_known = base, 0.0, np.inf, share, list(known)
     for _ in range(rounds):
-        config = price(weight / demand, lengths, size)
-        take = np.zeros(len(lengths))
+        best, pick = price(weight, lengths, size)
+        bound = max(bound, float(demand @ weight / best[size]))
+        if best_cover <= bound * (1 + gap):
+            break
+        add([filled(i, pick, lengths, demand, size) for i in range(len(lengths))], (0.1 * demand).tolist())
+        mean = np.zeros(len(lengths))
+        for _ in range(STEPS):
+            ratio = demand / np.bincount(row, times * share[col], len(lengths))
+            weight = base * ratio
+            share = share * np.clip(np.bincount(col, times * weight[row], len(share)), 0.2, 5)
+            base = base * ratio**DAMPING
+            mean += weight / STEPS
+        weight = mean
+        # a cover: what is still missing is made up by configurations of one length
+        missing = np.maximum(demand - np.bincount(row, times * share[col], len(lengths)), 0) / alone
+        full = share.copy()
+        full[: len(lengths)] += missing
+        if full.sum() < best_cover:
+            best_cover, kept = float(full.sum()), full
+            best_known = list(known)
+        # shares that have died out go, but for the configurations of one length
+        live = (share > 1e-6) | (np.arange(len(share)) < len(lengths))
+        place = np.cumsum(live) - 1
+        known = {c: i for i, c in enumerate(c for c, ok in zip(known, live, strict=True) if ok)}
+        cells = live[col]
+        row, col, times, share = row[cells], place[col[cells]], times[cells], share[live]
+    return [(Counter({int(lengths[i]): n for i, n in c}), float(x)) for c, x in zip(best_known, kept, strict=True) if x > 1e-6], bound
+
+
+def from_program(left: Counter, size: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """(configuration, sequences) pairs by rounding the linear program; takes their pieces
+    out of left. Shares of full configurations are rounded down, then what is left of them
+    up, the largest first, as far as pieces last; the program is solved anew for the
+    rest. When full configurations give little, those with more room are taken as well."""
+    out, slack, solved = [], 0, None
+    while slack <= size and left:
+        if solved is None:
+            solved = sorted(solve(left, size, rounds)[0], key=lambda p: (-p[1], sorted(p[0].items())))
+        before = sum(left.values())
+        for up in (False, True):
+            for config, x in solved:
+                if size - sum(k * n for k, n in config.items()) > slack or (up and x < 1 / 8):
+                    continue
+                runs = min(1 if up else int(x), *(left[k] // n for k, n in config.items()))
+                if runs > 0:
+                    out.append((dict(config), runs))
+                    for k, n in config.items():
+                        left[k] -= n * runs
+                        if not left[k]:
+                            del left[k]
+        if sum(left.values()) > 0.8 * before:  # accept more room in a sequence
+            slack = 2 * slack + 1
+        else:
+            solved = None
+    return out
+
+
+def best_fit(left: Counter, size: int) -> list[tuple[dict[int, int], int]]:
+    """(configuration, sequences) pairs: each takes the largest pieces that still fit, and
+    is repeated as long as they last."""
+    out = []
+    while left:
+        room, config = size, Counter()
+        while fit := [x for x in left if x <= room and left[x] > config[x]]:
+            x = max(fit)
+            n = min(room // x, left[x] - config[x])
+            config[x] += n
+            room -= n * x
+        runs = min(left[x] // n for x, n in config.items())
+        out.append((dict(config), runs))
         for x, n in config.items():
-            take[at[x]] = n
-        value = float((weight / demand * take).sum())
-        bound = max(bound, float(weight.sum()) / value)
-        run = float((demand[take > 0] / take[take > 0]).min())  # covers its scarcest length once
-        key = tuple(sorted(config.items()))
-        chosen[key] = chosen.get(key, 0.0) + run
-        share = run * take / demand
-        covered += share
-        weight = weight * (1 - epsilon) ** share
-        weight /= weight.max()
-    scale = 1 / covered.min() if covered.min() > 0 else 0.0
-    return [(Counter(dict(k)), x * min(scale, 1.0) if scale else 0.0) for k, x in chosen.items()], bound
+            left[x] -= n * runs
+            if not left[x]:
+                del left[x]
+    return out
 
 
 def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """(configuration, number of sequences) pairs that hold each piece exactly once: the
-    LP's configurations, rounded down and as far as pieces last, then best fit of the rest
-    by whole patterns. If plain best fit alone needs no more sequences, it is taken."""
+    rounded program, then best fit of the few pieces that are left."""
     left = Counter({x: n for x, n in histogram.items() if n})
-    if not left:
-        return []
-
-    def rest(left: Counter) -> list[tuple[dict[int, int], int]]:
-        out = []
-        while left:
-            room, config = size, Counter()
-            while fit := [x for x in left if x <= room and left[x] > config[x]]:
-                x = max(fit)
-                n = min(room // x, left[x] - config[x])
-                config[x] += n
-                room -= n * x
-            runs = min(left[x] // n for x, n in config.items())
-            out.append((dict(config), runs))
-            for x, n in config.items():
-                left[x] -= n * runs
-                if not left[x]:
-                    del left[x]
-        return out
-
-    plain = rest(Counter(left))
-    if sum(n for _, n in plain) <= -(-sum(x * n for x, n in histogram.items()) // size):
-        return plain
-    out = []
-    for config, x in sorted(solve(left, size, rounds)[0], key=lambda p: (-p[1], sorted(p[0].items()))):
-        runs = min(int(x), *(left[k] // n for k, n in config.items()))
-        if runs > 0:
-            out.append((dict(config), runs))
-            for k, n in config.items():
-                left[k] -= n * runs
-                if not left[k]:
-                    del left[k]
-    out += rest(left)
-    return min(plain, out, key=lambda p: sum(n for _, n in p))
+    made = from_program(left, size, rounds)
+    return made + best_fit(left, size)
 
 
 def placed(made: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:

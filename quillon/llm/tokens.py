@@ -1,7 +1,8 @@
 """Token ids of whole texts by a byte-level BPE vocabulary file.
 
 The file is one of tokenizers; tiktoken runs the same merges several times faster. Texts
-that hold the string of a special token go through tokenizers itself.
+that hold the string of a special token, or a run of blanks too long for tiktoken, go
+through tokenizers itself.
 """
 
 from __future__ import annotations
@@ -65,7 +66,12 @@ class Encoder:
         for s in self.special:
             if s in text:
                 return self.exact(text)
-        return array("I", self._bpe.encode_ordinary(text)).tobytes()
+        try:
+            return array("I", self._bpe.encode_ordinary(text)).tobytes()
+        except BaseException as e:  # its regular expression runs out of stack in a million blanks
+            if type(e).__name__ != "PanicException":
+                raise
+            return self.exact(text)
 
 
 _known: dict[str, Encoder] = {}
