@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut, table, where_id
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.linededup import line_dedup, without_lines
-from quillon.llm.neardup import near_duplicates
+from quillon.llm.neardup import one_of_each
 from quillon.llm.packing import pack
 from quillon.llm.tokens import default_path
 from quillon.llm.toxicity import learn, toxicity
@@ -30,8 +30,7 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    kept = cut(near_duplicates(docs), "copies").filter("kept").select("doc_id")
-    return where_id(docs, kept, "left_semi")
+    return one_of_each(docs)
 
 
 def benchmarks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """MinHash near-dedup (BagMinHash).
 
 A document is the multiset of its k-word shingles, and similarity is weighted Jaccard:
-sum of least counts over sum of largest counts. BagMinHash draws, for each shingle, Poisson
-processes over time, one for each dyadic block of its discretised weight ([0,1), [1,2),
-[2,4), [4,8) ...), whose points carry a level within the block and a signature component;
-points above the shingle's weight are thinned out, and a component's value is its earliest
-point. Points later than the last component's are never drawn, so a signature costs
-O(n + m log m) whatever the weights. Signatures are cut in bands; documents that share a
-band are candidates and are verified by exact multiset overlap.
+sum of least counts over sum of largest counts. BagMinHash draws for each shingle a Poisson
+process over time and discretised weight. The weights are cut in dyadic blocks ([0,1),
+[1,2), [2,4), [4,8) ...), and a block's process is a hierarchy: its first point falls in one
+of its halves, quarters and so on down to a unit of weight, and each half that the point
+did not fall in goes on from there with a process of its own. Halves above the shingle's
+weight are never followed, and neither are processes past the time that the signature
+needs, so a signature costs O(n + m log m) whatever the weights. Each point goes to a
+component of the signature, whose value is its earliest point. Signatures are cut in
+bands; documents that share a band are candidates and are verified by exact multiset
+overlap.
 """
 
 from __future__ import annotations
@@ -16,18 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, in_chunks, table, text_buffers
+from .common import cut, documents, in_chunks, release, table, text_buffers
 from .components import components
 from .shingles import mix, shingles, words
 
 K, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-#: Bands of more open members than these are first compared with other leaders for a few
-#: rounds, which only spares comparisons: all that is open then is compared by rare shingles.
-WHOLE, ROUNDS = 50, 3
 #: A shingle in the prefixes of more nodes than these is compared in blocks of so many.
 BLOCK = 1000
 CHUNK = 2_000_000
@@ -57,39 +58,40 @@ def bagminhash(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: in
     sig = np.full((rows, m), np.inf)
     weight = np.bincount(row, count, rows)
     limit = np.where(weight > 0, m * (np.log(m) + 3) / np.maximum(weight, 1), 0)
-    deepest = int(count.max()).bit_length() if len(count) else 0
-    # one process for each shingle and block of levels that reaches below its weight
-    who, seed, low, width = [], [], [], []
-    for b in range(deepest + 1):
-        floor, size = (0, 1) if not b else (1 << (b - 1), 1 << (b - 1))
-        has = np.flatnonzero(count > floor)
-        if b and not len(has):
-            break
-        who.append(has)
-        seed.append(mix(shingle[has] + U(0xB10C * (b + 1))))
-        low.append(np.full(len(has), floor))
-        width.append(np.full(len(has), size))
-    if not who:
-        return sig
-    who, seed, low, width = (np.concatenate(x) for x in (who, seed, low, width))
-    todo = np.arange(len(who))
-    open_rows = np.ones(rows, bool)
-    while len(todo):  # until all components of these rows have a value no later than the limit
-        live, time, step = todo, np.zeros(len(todo)), 0
-        while len(live):
-            h = mix(seed[live] + U((2 * step + 1) * 0x9E3779B97F4A7C15 & MASK))
-            time = time - np.log(_uniform(h)) / width[live]
-            keep = time <= limit[row[who[live]]]
-            live, time, h = live[keep], time[keep], h[keep]
+    open_rows = weight > 0
+    while open_rows.any():  # until all components of a row have a value no later than its limit
+        own = np.flatnonzero(open_rows[row])
+        # the blocks of levels that reach below a shingle's weight: who, first level, width, begin
+        who, low, width = [own], [np.zeros(len(own), np.int64)], [np.ones(len(own), np.int64)]
+        for b in range(int(count[own].max() - 1).bit_length()):
+            has = own[count[own] > 1 << b]
+            who.append(has)
+            low.append(np.full(len(has), 1 << b))
+            width.append(np.full(len(has), 1 << b))
+        who, low, width = (np.concatenate(x) for x in (who, low, width))
+        time, step = np.zeros(len(who)), np.zeros(len(who), np.uint64)
+        while len(who):
+            with np.errstate(over="ignore"):
+                h = mix(shingle[who] + mix(low.astype(U) * U(0x9E3779B97F4A7C15) ^ (width.astype(U) << U(32))) + step * U(0xD1B54A32D192ED03))
+            time = time - np.log(_uniform(h)) / width
+            keep = time <= limit[row[who]]
+            who, low, width, time, step, h = (x[keep] for x in (who, low, width, time, step, h))
             g = mix(h ^ U(0xC0FFEE))
-            level = low[live] + ((g >> U(32)) % width[live].astype(np.uint64)).astype(np.int64)
+            level = low + ((g >> U(32)) % width.astype(U)).astype(np.int64)
             part = ((g & U(0xFFFFFFFF)) * U(m) >> U(32)).astype(np.int64)
-            ok = level < count[who[live]]
-            np.minimum.at(sig, (row[who[live[ok]]], part[ok]), time[ok])
-            step += 1
+            ok = level < count[who]
+            np.minimum.at(sig, (row[who[ok]], part[ok]), time[ok])
+            # the unit that the point fell in goes on, and so does each half beside its way there
+            nexts = [(who[ok], level[ok], np.ones(int(ok.sum()), np.int64), time[ok], step[ok] + U(1))]
+            half = 1
+            while (wide := np.flatnonzero(width > half)).size:
+                beside = level[wide] // half * half ^ half
+                wide, beside = wide[beside < count[who[wide]]], beside[beside < count[who[wide]]]
+                nexts.append((who[wide], beside, np.full(len(wide), half), time[wide], np.zeros(len(wide), np.uint64)))
+                half *= 2
+            who, low, width, time, step = (np.concatenate(x) for x in zip(*nexts, strict=True))
         open_rows &= np.isinf(sig).any(1)
         limit = np.where(open_rows, limit * 2, 0)
-        todo = todo[open_rows[row[who[todo]]]]
     return sig
 
 
@@ -106,7 +108,7 @@ def bands_of(sig: np.ndarray, bands: int, depth: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, depth: int) -> DataFrame:
-    """doc_id, node (128-bit digest of the multiset), weight, bands."""
+    """doc_id, mark, node (128-bit digest of the multiset), weight, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +122,9 @@ def sketches(docs: DataFrame, k: int, bands: int, depth: int) -> DataFrame:
                 has = weight > 0
                 ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
                 flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[has].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), node, pa.array(weight), flat], ["doc_id", "node", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("mark").slice(i, j - i), node, pa.array(weight), flat], ["doc_id", "mark", "node", "weight", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, weight long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, node binary, weight long, bands array<long>")
 
 
 def node_of(row: np.ndarray, s: np.ndarray, n: np.ndarray, rows: int) -> pa.Array:
@@ -136,7 +138,8 @@ def node_of(row: np.ndarray, s: np.ndarray, n: np.ndarray, rows: int) -> pa.Arra
 
 
 def bags_of(docs: DataFrame, k: int) -> DataFrame:
-    """node and its multiset as sorted shingles and counts, in one binary."""
+    """node and its multiset as sorted shingles and counts, in one binary, of rows whose
+    text has that multiset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,13 +148,15 @@ def bags_of(docs: DataFrame, k: int) -> DataFrame:
                 row, s, n = multisets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 at = np.searchsorted(row, np.arange(j - i + 1))
                 bag = [s[a:b].tobytes() + n[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(bag, pa.binary())], ["node", "bag"])
+                node = batch.column("node").slice(i, j - i)
+                same = pc.equal(node, node_of(row, s, n, j - i))
+                yield pa.RecordBatch.from_arrays([node.filter(same), pa.array(bag, pa.binary()).filter(same)], ["node", "bag"])
 
     return docs.select("node", "text").mapInArrow(run, "node binary, bag binary")
 
 
 def unbag(bags: DataFrame) -> DataFrame:
-    """node, root, shingle s, count n."""
+    """node, root, shingle s, count n of (node, root, bag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +169,7 @@ def unbag(bags: DataFrame) -> DataFrame:
                 who = pa.array(np.repeat(np.arange(len(raw)), size))
                 yield pa.RecordBatch.from_arrays([part.column("node").take(who), part.column("root").take(who), pa.array(s), pa.array(n)], ["node", "root", "s", "n"])
 
-    return bags.select("node", "root", "bag").mapInArrow(run, "node binary, root long, s long, n long")
+    return bags.select("node", "root", "bag").mapInArrow(run, "node binary, root binary, s long, n long")
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -191,113 +196,93 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, depth: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row doc_id, class_id, class_size, kept, n_links.
+    """For each row doc_id, class_id, class_size, kept, twin (it repeats the kept row's id
+    and text), and mark (a hash of its text).
 
     Classes are the connected components of the links between documents of similarity
     `threshold` or more; class_id is the least id in the class, and the row with it is
-    kept. n_links counts the verified links of the row's distinct multiset to others.
-    Equal multisets are one class without a comparison; texts without words (null, empty,
-    blank) are equal ones. A text of 1 to k-1 words has one shingle. Rows whose ids are
-    null join the class of an equal multiset with an id; those without one form a class
-    with a null id that keeps one row. Of rows repeated with one id, one is kept. An
+    kept, of several such rows one. Equal multisets are one class without a comparison;
+    texts without words (null, empty, blank) are equal ones. A text of 1 to k-1 words has
+    one shingle. Rows with null ids are compared as all others; a class of such rows only
+    has a null id and keeps one of them. Ids may repeat with equal or different texts. An
     empty table gives no rows; further columns are ignored.
 
-    The members of a band are compared with one leader, the member that meets most others
-    in all its bands. A member stays open while its band spans components and the shingles
-    that it shares with other components could make it similar to one of their documents.
-    Open members of bands of more than WHOLE are compared with other leaders, one for each
-    band and round, in at most ROUNDS, which settles families of copies. All members that
-    are open then are compared by rare(): of these no link between two components is lost.
-    What is lost are links of documents that share no band.
+    First all members of a band are compared with one leader, the member that meets most
+    others in all its bands. What is in one component then needs no more comparisons.
+    Members of bands that still span components are compared by among_rare(): no link
+    between two of them is lost. What is lost are links of documents that share no band.
     """
-    docs = documents(df, id_col, text_col)
+    docs = documents(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     sketch = cut(sketches(docs, k, bands, depth), "op1-sketches")
-    nodes = sketch.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    chosen = nodes.filter(F.col("rep").isNotNull()).select("node", F.col("rep").alias("doc_id"))
-    member = sketch.join(chosen, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "weight", F.explode("bands").alias("band"))
-    size = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    member = cut(member.join(size, "band"), "op1-members")  # of bands with two nodes or more
-    central = member.groupBy("node").agg(F.sum("size").alias("meets"), F.first("doc_id").alias("doc_id"))
-    leader = member.join(central.drop("doc_id"), "node").groupBy("band").agg(F.max(F.struct("meets", "node")).alias("l"))
-    star = member.join(leader, "band").filter("node <> l.node").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
-    bags = cut(bags_of(docs.join(central.select("node", "doc_id"), "doc_id"), k), "op1-bags")
+    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("rep")
+    nodes = cut(sketch.groupBy("node").agg(rep, F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "op1-nodes")
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    size = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = cut(each.join(size, "band"), "op1-met")  # bands of two nodes or more
+    central = cut(met.groupBy("node").agg(F.sum("size").alias("meets")), "op1-central")
+    leader = met.select("node", "band").join(central, "node").groupBy("band").agg(F.max(F.struct("meets", "node")).alias("l"))
+    star = met.join(leader, "band").filter("node <> l.node").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = nodes.join(central, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.mark").alias("_mark"))
+    texts = docs.join(wanted, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    bags = cut(bags_of(texts, k), "op1-bags")
+    if bags.count() > central.count():  # rows that repeat with id and text
+        bags = cut(bags.dropDuplicates(["node"]), "op1-bags")
     links = cut(verified(star, bags, threshold), "op1-links")
-    opened = open_members(member, bags, cut(near_roots(links), "op1-near"), threshold)
-    still, step = opened.filter(F.col("size") > WHOLE), 0
-    while step < ROUNDS:
-        more = cut(verified(meeting(still, step), bags, threshold), "op1-links")
-        if more.isEmpty():
-            break
-        links, step = links.unionByName(more), step + 1
-        still = cut(with_root(still.drop("root", "size"), near_roots(links)), "op1-open")
-    root = cut(components(links, "op1-roots"), "op1-roots")
-    last = cut(verified(rare(opened, bags, root, threshold), bags, threshold), "op1-links")
-    if not last.isEmpty():
-        links = links.unionByName(last)
-        root = cut(components(root.toDF("a", "b").unionByName(last), "op1-roots"), "op1-roots")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_node = cut(nodes.join(root, "node", "left").join(degree, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "op1-classes")
-    sizes = of_node.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = of_node.join(sizes, "root").select("node", "class_id", "class_size", "n_links")
-    once = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy(F.lit(0))) == 1
-    out = sketch.select("doc_id", "node").join(classes, "node")
-    return out.select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & once).alias("kept"), "n_links")
-
-
-def open_members(member: DataFrame, bags: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
-    """band, node, weight, root and most (the weight that the node can share with documents
-    of other components), of bands that span components, without nodes of which no
-    document of another component can be a near copy."""
-    m = cut(with_root(member.select("band", "node", "weight"), root).drop("size"), "op1-wide")
-    cells = unbag(bags.join(m.select("node", "root").distinct(), "node"))
-    several = cells.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).filter("_l <> _h").select("s")
-    common = cells.join(several, "s", "left_semi").groupBy("node").agg(F.sum("n").alias("most"))
-    m = m.drop("root").join(common, "node").filter(F.col("most") >= threshold * F.col("weight") - 1e-9)
-    return cut(with_root(m, root), "op1-open")
-
-
-def near_roots(links: DataFrame) -> DataFrame:
-    """node, root: the least node within two links. Nodes with one root are in one
-    component; a component of a larger diameter may have several roots, which costs
-    comparisons but no links."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(one.toDF("b", "m"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root"))
-
-
-def with_root(m: DataFrame, root: DataFrame) -> DataFrame:
-    """m with a hash of each node's root, and the size of its band; bands within one
-    component are left out."""
-    m = m.join(root, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
-    wide = m.groupBy("band").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count(F.lit(1)).alias("size")).filter("_l <> _h").select("band", "size")
-    return m.join(wide, "band")
-
-
-def meeting(m: DataFrame, step: int) -> DataFrame:
-    """Each member with one leader of its band, another one for each band and step."""
-    lead = m.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node", F.lit(step)).alias("h"), "node", "root")).alias("l"))
-    return m.join(lead, "band").filter("root <> l.root").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-
-
-def rare(opened: DataFrame, bags: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of open members in different components that may be similar, by prefix
-    filter. Only shingles that several components have count. From the rarest to the most
-    frequent, the first one that two similar documents share leaves enough weight behind it
-    in both: threshold of the larger one's weight, and 2 threshold / (1 + threshold) of the
-    smaller one's."""
-    m = with_root(opened.select("band", "node", "weight"), root).select("node", "weight", "root").distinct()
-    cells = cut(unbag(bags.join(m.select("node", "root"), "node")), "op1-cells")
+    root = cut(components(links, "op1-edges"), "op1-roots")
+    more = cut(verified(among_rare(met, nodes, bags, root, threshold), bags, threshold), "op1-links")
+    if not more.isEmpty():
+        root = cut(components(root.toDF("a", "b").unionByName(more), "op1-edges"), "op1-roots")
+    of_node = cut(nodes.select("node", "rep", "copies").join(root, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root")), "op1-of-node")
+    release(met, central, bags, links, more, root, nodes)
+    classes = of_node.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"))
+    of_class = cut(of_node.select("node", "root").join(classes, "root").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.mark").alias("_mark"), "class_size", "root"), "op1-classes")
+    release(of_node)
+    out = sketch.select("doc_id", "mark", "node").join(of_class, "node").withColumn("first", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("_mark")))
+    # of rows that repeat with id and text one is first; other rows are dealt by their own hash
+    alike = Window.partitionBy("first", F.when(F.col("first"), F.xxhash64("root")).otherwise(F.xxhash64("doc_id", "mark"))).orderBy(F.lit(0))
+    nth = F.row_number().over(alike)
+    return out.select("doc_id", "class_id", "class_size", (F.col("first") & (nth == 1)).alias("kept"), (F.col("first") & (nth > 1)).alias("twin"), "mark")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The kept rows of near_duplicates(), as they are in df. Of rows that repeat with id
+    and text any one stays."""
+    near = cut(near_duplicates(df, id_col=id_col, text_col=text_col, **how).filter("kept or twin").select("doc_id", "mark", "twin"), "op1-kept")
+    columns = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(columns))])
+    own, mark = F.col(f"_{columns.index(id_col)}").cast("long"), F.xxhash64(F.coalesce(f"_{columns.index(text_col)}", F.lit("")))
+    out = plain.join(near, own.eqNullSafe(F.col("doc_id")) & (mark == F.col("mark")), "left_semi")
+    if not near.filter("twin").isEmpty():
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy(own, mark).orderBy(F.lit(0)))).filter("nth = 1").drop("nth")
+    return out.toDF(*columns)
+
+
+def among_rare(met: DataFrame, nodes: DataFrame, bags: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of nodes of different components, in bands that span components,
+    that may be similar, by prefix filter. Only shingles that several components have
+    count. From the rarest to the most frequent, the first one that two similar documents
+    share has enough weight behind it in both: threshold / (1 + threshold) of their total.
+    A shingle's pairs are those of its members outside its largest component with all;
+    shingles with many members are compared in blocks."""
+    m = met.select("band", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    m = cut(m, "op1-rooted")
+    wide = m.groupBy("band").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).filter("_l <> _h").select("band")
+    opened = m.join(wide, "band").select("node", "root").distinct().join(nodes.select("node", "weight"), "node")
+    opened = cut(opened, "op1-open")
+    cells = cut(unbag(bags.join(opened.select("node", "root"), "node")), "op1-cells")
     several = cells.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count(F.lit(1)).alias("f")).filter("_l <> _h").select("s", "f")
     onward = Window.partitionBy("node").orderBy(F.desc("f"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = cells.join(several, "s").withColumn("ahead", F.sum("n").over(onward)).join(m.select("node", "weight"), "node")
+    ahead = cells.join(several, "s").withColumn("ahead", F.sum("n").over(onward)).join(opened.select("node", "weight"), "node")
     prefix = cut(ahead.filter(F.col("ahead") >= threshold * F.col("weight") - 1e-9).select("s", "node", "root", "weight", "ahead"), "op1-prefixes")
-    blocks = prefix.groupBy("s").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("_l <> _h").select("s", "blocks")
-    p = prefix.join(blocks, "s").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    x = p.filter(F.col("ahead") >= 2 * threshold / (1 + threshold) * F.col("weight") - 1e-9)
+    by_root = prefix.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
+    of_s = by_root.groupBy("s").agg(F.count(F.lit(1)).alias("_r"), F.max(F.struct("c", "root")).alias("_m"), F.sum("c").alias("_n"))
+    of_s = of_s.filter("_r > 1").select("s", F.col("_m.root").alias("major"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    p = prefix.join(of_s, "s").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = p.filter("root <> major").drop("blocks", "major")
     y = p.select("s", F.col("other").alias("own"), F.col("own").alias("other"), *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "weight", "ahead")])
-    smaller = (F.col("weight") < F.col("weight_y")) | ((F.col("weight") == F.col("weight_y")) & (F.col("node") < F.col("node_y")))
     enough = F.least("ahead", "ahead_y") >= threshold / (1 + threshold) * (F.col("weight") + F.col("weight_y")) - 1e-9
-    pairs = x.join(y, ["s", "own", "other"]).filter(smaller & enough & (F.col("root") != F.col("root_y")))
+    like = F.least("weight", "weight_y") >= threshold * F.greatest("weight", "weight_y") - 1e-9
+    pairs = x.join(y, ["s", "own", "other"]).filter(enough & like & (F.col("root") != F.col("root_y")))
     return pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
 
 

@@ -48,6 +48,8 @@ def rows():
         out.append((1000 + i, " ".join(v)))
     w = prose(rng, 20000)
     out += [(2000, " ".join(w)), (2001, " ".join(w[:-3])), (2002, "a b c d e f g " * 500), (2003, "a b c d e f g " * 480)]
+    w = prose(rng, 104)
+    out += [(7, " ".join(w)), (7, " ".join(w[:40] + ["other"] + w[41:80] + ["other"] + w[81:])), (None, " ".join([*w, "z"])), (7, " ".join(w))]
     out += [(None, "lonely text"), (None, out[0][1]), (3000, None), (3001, ""), (3002, "  \n "), (3003, "one two"), (3004, "One  two"), (0, out[0][1])]
     return out
 
@@ -75,7 +77,7 @@ def test_neardup(spark, rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if (bags[a] == bags[b]) or (rows[a][0] is not None and rows[b][0] is not None and similarity(bags[a], bags[b]) >= 0.8):
+        if bags[a] == bags[b] or similarity(bags[a], bags[b]) >= 0.8:
             parent[find(b)] = find(a)
     want = defaultdict(list)
     for i in range(len(rows)):
@@ -87,6 +89,10 @@ def test_neardup(spark, rows):
             expected[(x, min(ids, default=None), len(v))] += 1
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == expected
     assert sum(r.kept for r in got) == len(want)
+    one = neardup.one_of_each(make(spark, rows))
+    assert one.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    assert Counter(r[0] for r in one.collect()) == Counter(min((x for x in v if x is not None), default=None) for v in want.values())
+    assert neardup.one_of_each(make(spark, [])).count() == 0
     assert neardup.near_duplicates(make(spark, [])).count() == 0
 
 
