@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers that start elsewhere import this package where nothing else does."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Let Python workers that start elsewhere import this package where nothing else does,
+    and have them give freed memory back, as they live on from stage to stage."""
+    env = spark.sparkContext.environment
+    env.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

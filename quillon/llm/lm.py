@@ -6,8 +6,10 @@ their counts back. Bigram counts are quantised on a geometric grid; a bigram of
 puts (bigram, 1) to (bigram, j) into a Bloom filter, so probing levels in turn until one is
 missing gives its quantised count. The filter has a segment for each range of hashes and
 grows with the entries. Up to MAX_BYTES it is broadcast; beyond that each bucket sends its
-distinct bigrams to their segments and gets their counts back. The weight of a bigram depends on how often its first
-word occurs and is fitted by EM on one bucket of training documents, each left out in turn.
+distinct bigrams to their segments and gets their counts back, which gives the same scores.
+The weight of a bigram depends on how often its first word occurs and is fitted by EM on
+all training tokens, each left out in turn: every bucket counts its tokens by class and by
+the logarithm of the ratio of the bigram's probability to the unigram's, in steps of WIDTH.
 """
 
 from __future__ import annotations
@@ -20,18 +22,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, is_held, table, text_buffers
+from .common import cut, documents, in_chunks, is_held, release, table, text_buffers
 from .shingles import mix, words
 
 BUCKET_BYTES = 8_000_000
 SEGMENT_BYTES = 16_000_000
+#: Texts are worked on in pieces of so many bytes, a longer text alone.
+CHUNK = 1_000_000
 #: Bits of the filter for each entry, hash functions, and most bytes of all segments that
-#: are broadcast; a larger filter is probed by segment.
-BITS, HASHES, MAX_BYTES = 12, 4, 256_000_000
+#: are broadcast, as each Python worker holds them; a larger filter is probed by segment.
+BITS, HASHES, MAX_BYTES = 12, 4, 64_000_000
 GRID = np.unique(np.round(1.5 ** np.arange(60)).astype(np.int64))
 U = np.uint64
 END, START = U(0x656E64), U(0x7374617274)
-CLASSES = 40
+#: Classes of the first word's count, and cells of ratios in each: 0 for none, then so wide.
+CLASSES, CELLS, WIDTH = 40, 1000, 0.05
+PRIOR = 0.2
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +78,7 @@ class Filter:
     """Segments (bits, bytes) by number."""
 
     def __init__(self, segments: list[tuple[int, np.ndarray]]):
-        self.segments = segments
+        self.count = len(segments)
         self.first = np.concatenate([[0], np.cumsum([len(b) for _, b in segments])]) * 8
         self.bits = np.array([max(1, n) for n, _ in segments], np.uint64)
         self.bytes = np.concatenate([b for _, b in segments]) if segments else np.zeros(0, np.uint8)
@@ -90,15 +96,15 @@ class Filter:
         j = level(count)
         bits = max(64, BITS * int(j.sum()))
         bits = bits if most_bytes is None else min(bits, 8 * most_bytes)
-        flat = np.zeros(-(-bits // 8) * 8, bool)
+        out = np.zeros(-(-bits // 8), np.uint8)
         for x in range(1, int(j.max(initial=0)) + 1):
             for p in cls.places(h[j >= x], x, U(bits)):
-                flat[p.astype(np.int64)] = True
-        return bits, np.packbits(flat, bitorder="little")
+                np.bitwise_or.at(out, (p >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & U(7)).astype(np.uint8)))
+        return bits, out
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Quantised count of each h, 0 if it is not there."""
-        seg = (h % U(len(self.segments))).astype(np.int64)
+        seg = (h % U(self.count)).astype(np.int64)
         out, live, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
         while len(live) and j <= len(GRID):
             bits, first = self.bits[seg[live]], self.first[seg[live]]
@@ -122,14 +128,16 @@ def _pack(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = b.column("bucket").to_numpy()
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
-            out = []
-            for own in np.split(order, first[1:]) if len(order) else []:
-                part = b.select(["doc_id", "held", "text"]).take(pa.array(own))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as w:
-                    w.write_batch(part)
-                out.append(z.compress(sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
+            for k, own in zip(found, np.split(order, first[1:]) if len(order) else [], strict=True):
+                whole = b.select(["doc_id", "held", "text"]).take(pa.array(own))
+                out = []
+                for i, j in in_chunks(text_buffers(whole.column("text"))[1], CHUNK):
+                    part = whole.slice(i, j - i)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_batch(part)
+                    out.append(z.compress(sink.getvalue()))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     return d.mapInArrow(run, "bucket int, blob binary")
 
@@ -210,7 +218,7 @@ def _probed(blobs: DataFrame, gathered: DataFrame, segments: int) -> DataFrame:
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         f = Filter([(bits, np.frombuffer(raw.as_buffer(), np.uint8)) for bits, raw in zip(right.column("bucket").to_pylist(), right.column("n"), strict=True)])
-        n = [(f.counts(np.frombuffer(x.as_buffer(), np.uint64)) if f.segments else np.zeros(len(x.as_buffer()) // 8, np.int64)).tobytes() for x in left.column("h")]
+        n = [(f.counts(np.frombuffer(x.as_buffer(), np.uint64)) if f.count else np.zeros(len(x.as_buffer()) // 8, np.int64)).tobytes() for x in left.column("h")]
         return pa.table([left.column("bucket"), left.column("h"), pa.array(n, pa.binary())], names=["bucket", "h", "n"])
 
     asked = blobs.groupBy("bucket").applyInArrow(ask, "seg int, bucket int, h binary")
@@ -230,26 +238,36 @@ class Counts:
         return self.n[np.searchsorted(self.h, h)]
 
 
-def fitted(c: np.ndarray, c1: np.ndarray, q: np.ndarray, total: int, kinds: int, rounds: int = 30) -> np.ndarray:
-    """Bigram weights by class of the first word's count, by EM with each token left out.
-    c: counts of the tokens, c1 of the words before, q of both."""
+def cells(c: np.ndarray, c1: np.ndarray, q: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """Numbers of tokens by class and ratio, each token left out of the counts. c: counts
+    of the tokens, c1 of the words before, q of both."""
     c, c1 = np.maximum(c - 1, 0), c1 - 1
     q = np.minimum(np.maximum(q - 1, 0), c1)
     use = c1 > 0
-    p1 = (c[use] + 0.5) / (total + 0.5 * (kinds + 1))
-    p2 = q[use] / c1[use]
+    p1, p2 = (c[use] + 0.5) / (total + 0.5 * (kinds + 1)), q[use] / c1[use]
     k = np.minimum(level(c1[use]), CLASSES - 1)
-    weight = np.full(CLASSES, 0.2)
-    size = np.bincount(k, minlength=CLASSES)
+    with np.errstate(divide="ignore"):
+        ratio = np.log(p2 / p1)
+    cell = np.where(p2 > 0, np.clip(np.floor(np.maximum(ratio, -40) / WIDTH) + CELLS // 2, 1, CELLS - 1), 0).astype(np.int64)
+    return np.bincount(k * CELLS + cell, minlength=CLASSES * CELLS)
+
+
+def fitted(n: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Bigram weights by class from numbers of tokens by class and ratio, by EM."""
+    n = n.reshape(CLASSES, CELLS).astype(float)
+    ratio = np.exp((np.arange(CELLS) + 0.5 - CELLS // 2) * WIDTH)
+    ratio[0] = 0
+    weight = np.full(CLASSES, PRIOR)
     for _ in range(rounds):
-        a = weight[k] * p2
-        share = np.bincount(k, a / (a + (1 - weight[k]) * p1), CLASSES)
-        weight = (share + 2 * 0.2) / (size + 2)
+        a = weight[:, None] * ratio[None]
+        share = (n * a / (a + (1 - weight[:, None]))).sum(1)
+        weight = (share + 2 * PRIOR) / (n.sum(1) + 2)
     return np.clip(weight, 0.001, 0.95)
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, segment_bytes: int = SEGMENT_BYTES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """For each row doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """For each row doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score;
+    worked out at once and written.
 
     The model learns from the rows that are not held out. A null or empty text is its end
     token alone. Ids may be null (never held out) or repeat; each row counts. Without
@@ -271,8 +289,9 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
         parts[r.seg] = (r.bucket, np.frombuffer(bytes(r.n), np.uint8))
     bloom = spark.sparkContext.broadcast(Filter(parts)) if whole else None
     counts = gathered.filter("kind = 0").select(F.col("bucket").cast("int").alias("bucket"), "h", "n", F.lit(0).alias("kind"))
-    if not whole:
-        counts = counts.unionByName(cut(_probed(blobs, gathered, segments), "op8-bigrams").withColumn("kind", F.lit(1)))
+    probed = None if whole else cut(_probed(blobs, gathered, segments), "op8-bigrams")
+    if probed:
+        counts = counts.unionByName(probed.withColumn("kind", F.lit(1)))
 
     def each(left: pa.Table, right: pa.Table):
         is_two = np.asarray(right.column("kind").to_numpy()) == 1
@@ -290,15 +309,18 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
             yield b, at, c, c1, two(pair)
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = []
+        n = np.zeros(CLASSES * CELLS, np.int64)
         for b, at, c, c1, q in each(left, right):
             train = ~np.asarray(b.column("held").to_numpy(zero_copy_only=False))[at]
-            got.append((c[train], c1[train], q[train]))
-        w = fitted(*(np.concatenate(x) for x in zip(*got, strict=True)), total, kinds) if got else np.full(CLASSES, 0.2)
-        return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
+            n += cells(c[train], c1[train], q[train], total, kinds)
+        cell = np.flatnonzero(n)
+        return pa.table({"cell": pa.array(cell, pa.int32()), "n": pa.array(n[cell])})
 
-    one = blobs.filter("bucket = 0").groupBy("bucket").cogroup(counts.filter("bucket = 0").groupBy("bucket")).applyInArrow(learn, "weights array<double>").first()
-    weight = np.array(one.weights if one else [0.2] * CLASSES)
+    texts, looked = blobs.groupBy("bucket"), counts.groupBy("bucket")
+    n = np.zeros(CLASSES * CELLS, np.int64)
+    for r in texts.cogroup(looked).applyInArrow(learn, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # CLASSES x CELLS rows at most
+        n[r.cell] = r.n
+    weight = fitted(n)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -311,7 +333,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
         return pa.Table.from_batches(out, None if out else schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
-    return blobs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = cut(texts.cogroup(looked).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "op8-scores")
+    if bloom:
+        bloom.destroy()
+    release(blobs, gathered, *([probed] if probed else []))
+    return out
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
         one = np.full(size, base, np.uint64)
         one[0] = 1
         kept = np.cumprod(one)
-        if size > 8_000_000:  # of one very long text
+        if size > 2_500_000:  # of one very long text
             return kept[:n]
         _powers[kind] = kept
     return _powers[kind][:n]

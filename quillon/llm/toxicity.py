@@ -26,7 +26,8 @@ from .common import documents, is_held, pick, table
 TRAIN_DOCS = 1500
 #: Hashed feature weights.
 DIM = 1 << 18
-MEMO = 400_000
+#: Words whose scores a worker remembers.
+MEMO = 100_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(r"\w+")
 
