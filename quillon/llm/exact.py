@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, table
 
 SALTS = 16
+HOT = 1000
 
 
 def _digest(text: Column) -> Column:
@@ -43,7 +44,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     docs = documents(df, id_col, text_col)
     groups = cut(groups_of_equal_texts(docs, digest, salts), "op5-groups")
     d = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256"))
-    out = d.join(groups.filter(F.col("text").isNull()).drop("text"), "digest")
+    # groups with over 1/HOT of all rows, of which there are HOT at most, go to every task;
+    # the rest, without a hot key, is joined by digest
+    alone = groups.filter(F.col("text").isNull()).drop("text")
+    much = (groups.agg(F.sum("group_size")).first()[0] or 0) / HOT
+    hot = F.broadcast(alone.filter(F.col("group_size") > much))
+    rare = d.join(hot, "digest", "left_anti").join(alone.filter(F.col("group_size") <= much), "digest")
+    out = d.join(hot, "digest").unionByName(rare)
     if not groups.filter(F.col("text").isNotNull()).isEmpty():  # texts that differ under one digest
         t = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256"), "text")
         out = out.unionByName(t.join(groups.filter(F.col("text").isNotNull()), ["digest", "text"]).select(out.columns))
