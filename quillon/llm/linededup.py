@@ -120,8 +120,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = partnered(exact.filter("rests is not null").select("k1", "rests"))
     own = keys(F.col("line"))
     texts = sieved(lines_of(docs).select("line", *own), F.col("k1"), some).join(some, "k1").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    texts = cut(texts.join(exact.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", F.struct("k1", "k2").alias("key"), "first", word_list(F.col("line")).alias("w")).filter(F.size("w") >= LEAST_WORDS), "op9-texts")
-    closer = partnered(texts.select("k1", F.array(*rests(F.col("w"), 4)).alias("rests")))
+    texts = cut(texts.join(exact.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", F.struct("k1", "k2").alias("key"), "first", word_list(F.col("line")).alias("w")).filter(F.size("w") >= LEAST_WORDS).withColumn("rests", F.array(*rests(F.col("w"), 4))), "op9-texts")
+    closer = partnered(texts.select("k1", "rests"))
     near = cut(near_copies(cut(texts.join(closer, "k1").select("key", "first", "w"), "op9-closer")).select("key.k1", "key.k2", "near"), "op9-near")
     verdict = cut(exact.select("k1", "k2", "first", "several").join(near, ["k1", "k2"], "left").filter("several or near is not null"), "op9-verdicts")
     hit = sieved(lines.select("doc_id", "no", "k1", "k2"), F.col("k1"), verdict.select("k1")).join(verdict, ["k1", "k2"]).filter(F.col("near").isNotNull() | (F.col("first") < place))
