@@ -60,8 +60,8 @@ def fix_email(c: Column, fix_common_typos: bool = True) -> Column:
     if not fix_common_typos:
         return low
     fixes = F.create_map(*[F.lit(x) for pair in EMAIL_DOMAIN_FIXES.items() for x in pair])
-    at = F.regexp_extract(low, r"^([^@]*)@([^@]*)$", 2)
-    return F.when(fixes[at].isNotNull(), F.concat(F.regexp_extract(low, r"^([^@]*)@", 1), F.lit("@"), fixes[at])).otherwise(low)
+    at = F.regexp_extract(low, r"@([^@]*)$", 1)  # behind the last @
+    return F.when(fixes[at].isNotNull(), F.concat(F.regexp_extract(low, r"^(.*@)[^@]*$", 1), fixes[at])).otherwise(low)
 
 
 def valid_us_phone(c: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import moments, numeric_columns, present, tidy
+from .profile import moments, numeric_columns, present, ref, tidy
 
 
 def bounds(df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns: list[str] | None = None) -> DataFrame:
@@ -66,7 +66,11 @@ def isolation_scores(df: DataFrame, column: str, trees: int = 100, sample: int =
     """df with isolation_score (null for missing values): nearer 1 is more isolated. Trees
     grow on bounded samples (trees x sample values); all rows are scored."""
     value = present(df, column)
-    rows = df.select(value.alias("v")).filter("v is not null").orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(trees * sample).collect()
+    # by a hash of the whole row, so that values come as often as they are; a table of one
+    # column has no more to tell equal values apart than their places
+    row = [ref(c) for c in df.columns] if len(df.columns) > 1 else [value, F.monotonically_increasing_id()]
+    drawn = df.select(value.alias("v"), F.xxhash64(*row, F.lit(seed)).alias("h")).filter("v is not null")
+    rows = drawn.orderBy("h", "v").limit(trees * sample).collect()
     pool, rng = np.array([r.v for r in rows]), np.random.Generator(np.random.PCG64(seed))
     if not len(pool):
         return df.withColumn("isolation_score", F.lit(None).cast("double"))

@@ -84,7 +84,27 @@ def matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pears
         flat = df.agg(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), pearson(present(df, a), present(df, b)).alias("correlation")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
         return flat.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(pairs))])))
     one = {"spearman": spearman, "kendall": kendall}[method]
-    return df.sparkSession.createDataFrame([(a, b, one(df, a, b)) for a, b in pairs], schema)
+    known = ranked_correlations(df, sorted({c for p in pairs for c in p})) if method == "spearman" and pairs else {}
+    return df.sparkSession.createDataFrame([(a, b, known[a, b] if (a, b) in known else one(df, a, b)) for a, b in pairs], schema)
+
+
+def ranked_correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
+    """Spearman of each pair (either way) of the columns without missing values: each column
+    is ranked once, as its ranks are the same in all pairs, and one aggregate has all pairs."""
+    gaps = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for c, n in zip(columns, gaps, strict=True) if not n]
+    if len(whole) < 2:
+        return {}
+    values = df.select(*[present(df, c).alias(f"v{i}") for i, c in enumerate(whole)])
+    rows = values
+    for i in range(len(whole)):
+        counts = values.groupBy(f"v{i}").agg(F.count(F.lit(1)).alias("m"))
+        rank = running_sum(counts, f"v{i}", F.col("m"), "before").select(f"v{i}", (F.col("before") + (F.col("m") + 1) / 2).alias(f"r{i}"))
+        rows = rows.join(rank, f"v{i}")
+    pairs = list(combinations(range(len(whole)), 2))
+    got = rows.agg(*[pearson(F.col(f"r{i}"), F.col(f"r{j}")).alias(f"_{k}") for k, (i, j) in enumerate(pairs)]).first()
+    out = {(whole[i], whole[j]): r for (i, j), r in zip(pairs, got, strict=True)}
+    return out | {(b, a): r for (a, b), r in out.items()}
 
 
 def pearson(x: Column, y: Column) -> Column:

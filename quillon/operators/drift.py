@@ -27,6 +27,12 @@ def categorical_drift(df: DataFrame, reference: DataFrame, columns: list[str]) -
     return j.groupBy("column_name").agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("drift"))
 
 
+def column_changes(df: DataFrame, reference: DataFrame) -> DataFrame:
+    """column_name, change (new or missing) of columns that only one of the two has."""
+    new, gone = (sorted(set(a.columns) - set(b.columns)) for a, b in ((df, reference), (reference, df)))
+    return df.sparkSession.createDataFrame([*[(c, "new") for c in new], *[(c, "missing") for c in gone]], "column_name string, change string")
+
+
 def drift(df: DataFrame, reference: DataFrame, threshold: float = 0.1) -> dict:
     common = [c for c in df.columns if c in reference.columns]
     numbers = [c for c in common if c in numeric_columns(df) and c in numeric_columns(reference)]

@@ -31,15 +31,9 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, prefix:
 
 
 def label_codes(df: DataFrame, column: str, order_by: str) -> DataFrame:
-    """value, code: from 0 in the order of first appearance."""
+    """value, code: from 0 in the order of first appearance; values that first appear together, by value."""
     first = df.filter(ref(column).isNotNull()).groupBy(ref(column).alias("value")).agg(F.min(ref(order_by)).alias("_o"))
-    place = first.select("value", F.struct("_o", "value").alias("_p"), "_o")
-    if place.select("_o").distinct().count() == place.count():
-        return running_sum(first, "_o", F.lit(1).cast("long"), "code").select("value", "code")
-    from pyspark.sql import Window  # values that first appear together: settled by value
-
-    dense = F.row_number().over(Window.orderBy("_o", "value")) - 1
-    return first.select("value", dense.cast("long").alias("code"))
+    return running_sum(first, "_o", F.lit(1).cast("long"), "code", "value").select("value", "code")
 
 
 def label_encode(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:

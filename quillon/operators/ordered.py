@@ -33,17 +33,19 @@ def with_range(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
     return df.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(place(0, len(bounds))))
 
 
-def running_sum(df: DataFrame, order: str, weight: Column, name: str) -> DataFrame:
-    """df with the sum of weight over the rows before each in this order; order must be unique."""
+def running_sum(df: DataFrame, order: str, weight: Column, name: str, *ties: str) -> DataFrame:
+    """df with the sum of weight over the rows before each in the order of `order`, then of
+    `ties`; together they must be unique."""
     d = with_range(df, order).withColumn("_w", weight)
     sums = d.groupBy("_range").agg(F.sum("_w").alias("_s"))
     above = sums.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))  # RANGES rows
-    own = F.coalesce(F.sum("_w").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("_w").over(Window.partitionBy("_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return d.withColumn(name, own).join(F.broadcast(above), "_range").withColumn(name, F.col(name) + F.col("_above")).drop("_range", "_w", "_above")
 
 
 def carried(df: DataFrame, columns: list[str], order: str, forward: bool = True, keys: list[str] | None = None) -> DataFrame:
-    """Nulls of these columns take the last (forward) or next value in order, within keys if given."""
+    """Nulls of these columns take the last (forward) or next value in order, within keys if
+    given. Where rows tie in order, which of them comes first is open: give a unique order."""
     pick, side = (F.last, Window.unboundedPreceding) if forward else (F.first, Window.unboundedFollowing)
     frame = lambda w: w.rowsBetween(side, 0) if forward else w.rowsBetween(0, side)
     if keys:

@@ -38,12 +38,24 @@ def patterns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return P.tidy(df, out).select(key[0].alias("column_name"), key[1].alias("pattern"), pct.alias("match_pct"), (pct > 50).alias("detected"))
 
 
+def consistency(df: DataFrame) -> float:
+    """The percentage of text and variant columns whose values are of one type; only a
+    variant's can differ. 100 without such columns."""
+    variants = [f.name for f in df.schema if isinstance(f.dataType, P.T.VariantType)]
+    n = len(variants) + len(P.text_columns(df))
+    if not variants:
+        return 100.0
+    kind = lambda c: F.when(~F.is_variant_null(P.ref(c)), F.regexp_extract(F.schema_of_variant(P.ref(c)), r"^\w+", 0))
+    r = df.agg(*[F.count_distinct(kind(c)).alias(f"_{i}") for i, c in enumerate(variants)]).first()
+    return 100.0 * (n - sum(k > 1 for k in r)) / n
+
+
 def quality(df: DataFrame, capped: bool = False) -> dict:
     """completeness, uniqueness, validity, consistency, overall_score and interpretation.
 
     validity counts detected patterns over text columns, so a column with two patterns can
-    take it over 100; capped=True bounds it. Columns of a DataFrame have one type each, so
-    consistency is 100.
+    take it over 100; capped=True bounds it. consistency is the share of text and variant
+    columns whose values have one type.
     """
     stats = P.column_stats(df).collect()
     rows = stats[0].total if stats else 0
@@ -54,7 +66,7 @@ def quality(df: DataFrame, capped: bool = False) -> dict:
     texts = P.text_columns(df)
     hits = patterns(df).filter("detected").count() if texts and rows else 0
     validity = 100.0 * hits / len(texts) if texts else 100.0
-    parts = {"completeness": complete, "uniqueness": sum(unique) / len(unique) if unique else 0.0, "validity": min(validity, 100.0) if capped else validity, "consistency": 100.0}
+    parts = {"completeness": complete, "uniqueness": sum(unique) / len(unique) if unique else 0.0, "validity": min(validity, 100.0) if capped else validity, "consistency": consistency(df)}
     score = sum(WEIGHTS[k] * v for k, v in parts.items())
     return parts | {"overall_score": score, "interpretation": next((text for least, text in BANDS if score >= least), BANDS[-1][1])}
 

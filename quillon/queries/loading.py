@@ -58,7 +58,6 @@ O = f"(SELECT {', '.join(COLS)} FROM orders)"
 TIME = f"SELECT * FROM {O} WHERE o_orderdate < '1996-06-01' UNION ALL SELECT * FROM {O} WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < '1996-06-01'){{}}"
 add("load_incr_ts", by_time(), TIME.format(""))
 add("load_incr_ts_lookback", by_time(lookback_window="30 days"), TIME.format(" - INTERVAL 30 DAY"))
-add("high_watermark", lambda s, d: table(s, d, "orders").agg(F.coalesce(F.max("o_orderdate"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("high")), "SELECT coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') AS high FROM orders")
 SCD = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate AS effective_from", "CASE WHEN o_orderkey % 6 = 1 THEN TIMESTAMP '1997-01-01' ELSE TIMESTAMP '9999-12-31' END AS effective_to", "o_orderkey % 6 <> 1 AS is_current"]
 NTZ = [c.replace("TIMESTAMP '", "TIMESTAMP_NTZ '") for c in SCD]
 

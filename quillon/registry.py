@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import QUERIES, SQL, cleaning, loading, profiling, scalars  # noqa: F401
+from .queries import QUERIES, SQL, cleaning, loading, profiling, scalars, tables  # noqa: F401
 
 
 def queries() -> dict:

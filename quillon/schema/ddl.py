@@ -30,14 +30,18 @@ class Dialect:
     distinct: str = "{a} IS DISTINCT FROM {b}"
     true: str = "TRUE"
     false: str = "FALSE"
+    timestamp: str = "TIMESTAMP"
+    back: str = "{value} - INTERVAL '{n} {unit}'"
+    delete: str = "DELETE FROM {target} t WHERE EXISTS (SELECT 1 FROM {source} s WHERE {on});"
+    update: str = "UPDATE {target} t SET {sets} FROM {source} s WHERE {on};"
 
 
 DIALECTS = {
-    "bigquery": Dialect("bigquery", "`{}`", True, 1, 4, now="CURRENT_TIMESTAMP()"),
+    "bigquery": Dialect("bigquery", "`{}`", True, 1, 4, now="CURRENT_TIMESTAMP()", back="{value} - INTERVAL {n} {unit}"),
     "snowflake": Dialect("snowflake", most_cluster=4, now="CURRENT_TIMESTAMP()"),
-    "redshift": Dialect("redshift", most_sort=400, distribution=True, merge=False, now="GETDATE()", distinct="(({a} <> {b}) OR ({a} IS NULL) <> ({b} IS NULL))"),
+    "redshift": Dialect("redshift", most_sort=400, distribution=True, merge=False, now="GETDATE()", distinct="(({a} <> {b}) OR ({a} IS NULL) <> ({b} IS NULL))", delete="DELETE FROM {target} USING {source} s WHERE {on};"),
     "postgresql": Dialect("postgresql", '"{}"', most_partition=1, most_cluster=32, merge=False),
-    "sqlserver": Dialect("sqlserver", "[{}]", most_partition=1, most_cluster=16, if_not_exists=False, now="SYSUTCDATETIME()", true="1", false="0"),
+    "sqlserver": Dialect("sqlserver", "[{}]", most_partition=1, most_cluster=16, if_not_exists=False, now="SYSUTCDATETIME()", true="1", false="0", timestamp="DATETIME2", back="DATEADD({unit}, -{n}, {value})", delete="DELETE t FROM {target} t JOIN {source} s ON {on};", update="UPDATE t SET {sets} FROM {target} t JOIN {source} s ON {on};"),
     "spark": Dialect("spark", "`{}`", most_partition=32, most_cluster=32, most_sort=32, now="current_timestamp()", distinct="NOT ({a} <=> {b})"),
 }
 
@@ -159,31 +163,36 @@ def load_sql(schema: CanonicalSchema, cfg: LoadConfig, platform: str) -> str:
     missing = f"WHERE NOT EXISTS (SELECT 1 FROM {target} t WHERE {on})"
     moves = {MergeStrategy.UPDATE_SELECTIVE: cfg.update_columns or [], MergeStrategy.UPDATE_NONE: []}.get(cfg.merge_strategy, rest)
     sets = ", ".join(f"{q(c)} = s.{q(c)}" for c in moves)
-    delete = f"DELETE FROM {target} t WHERE EXISTS (SELECT 1 FROM {source} s WHERE {on}{{}});"
-    update = f"UPDATE {target} t SET {sets} FROM {source} s WHERE {on}{{}};"
+    # the target's alias, or its name where a DELETE takes no alias
+    here = lambda text: text if " t " in d.delete else text.replace("t.", f"{target}.")
+    delete = lambda rows, more="": d.delete.format(target=target, source=rows, on=here(on) + more)
+    update = lambda rows, what, more="": d.update.format(target=target, source=rows, sets=what, on=on + more)
     block = lambda *x: "BEGIN" + (" TRANSACTION" if platform != "postgresql" else "") + ";\n" + "\n".join(x) + "\nCOMMIT" + (" TRANSACTION" if platform == "bigquery" else "") + ";"
     if p is P.FULL_REFRESH:
         return block(f"DELETE FROM {target} WHERE 1 = 1;", insert + ";")
     if p is P.APPEND_ONLY:
         return insert + ";"
     if p is P.DELETE_INSERT:
-        return block(delete.format(""), insert + ";")
+        return block(delete(source), insert + ";")
     if p is P.INCREMENTAL_APPEND:
         return f"{insert}\n{missing};"
     if p is P.INCREMENTAL_TIMESTAMP:
-        back = f" - INTERVAL '{cfg.lookback_window}'" if cfg.lookback_window else ""
-        return f"{insert}\nWHERE s.{q(cfg.incremental_column)} > (SELECT COALESCE(MAX({q(cfg.incremental_column)}), CAST('1970-01-01' AS TIMESTAMP)) FROM {target}){back};"
+        since = f"(SELECT COALESCE(MAX({q(cfg.incremental_column)}), CAST('1970-01-01' AS {d.timestamp})) FROM {target})"
+        if cfg.lookback_window:
+            n, unit = cfg.lookback_window.split()
+            since = d.back.format(value=since, n=n, unit=unit.upper().rstrip("S"))
+        return f"{insert}\nWHERE s.{q(cfg.incremental_column)} > {since};"
     if p in (P.UPSERT, P.SCD_TYPE1):
         changed = f" AND ({differ(rest)})" if cfg.merge_strategy is MergeStrategy.UPDATE_CHANGED and rest else ""
         if d.merge:
             matched = [f"WHEN MATCHED{changed} THEN UPDATE SET {sets}"] * bool(moves)
             return "\n".join([f"MERGE INTO {target} t", f"USING {source} s", f"ON {on}", *matched, f"WHEN NOT MATCHED THEN INSERT ({cols}) VALUES ({pick});"])
-        return block(*[update.format(changed)] * bool(moves), f"{insert}\n{missing};")
+        return block(*[update(source, sets, changed)] * bool(moves), f"{insert}\n{missing};")
     if p is P.SCD_TYPE2:
         start, end, now = q(cfg.effective_date_column), q(cfg.expiration_date_column), q(cfg.is_current_column)
         plain = [c for c in names if c not in (cfg.effective_date_column, cfg.expiration_date_column, cfg.is_current_column)]
-        expire = f"UPDATE {target} t SET {end} = {d.now}, {now} = {d.false} FROM {source} s WHERE {on} AND t.{now} = {d.true} AND ({differ(cfg.hash_columns)});"
-        new = f"INSERT INTO {target} ({', '.join(map(q, plain))}, {start}, {end}, {now})\nSELECT {', '.join(f's.{q(c)}' for c in plain)}, {d.now}, CAST('9999-12-31' AS TIMESTAMP), {d.true} FROM {source} s\nWHERE NOT EXISTS (SELECT 1 FROM {target} t WHERE {on} AND t.{now} = {d.true});"
+        expire = update(source, f"{end} = {d.now}, {now} = {d.false}", f" AND t.{now} = {d.true} AND ({differ(cfg.hash_columns)})")
+        new = f"INSERT INTO {target} ({', '.join(map(q, plain))}, {start}, {end}, {now})\nSELECT {', '.join(f's.{q(c)}' for c in plain)}, {d.now}, CAST('9999-12-31' AS {d.timestamp}), {d.true} FROM {source} s\nWHERE NOT EXISTS (SELECT 1 FROM {target} t WHERE {on} AND t.{now} = {d.true});"
         return block(expire, new)
     op = f"s.{q(cfg.operation_column)}"
     latest = f"(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {', '.join(map(q, keys))} ORDER BY {q(cfg.sequence_column or keys[0])} DESC) AS rn FROM {source}) x WHERE rn = 1)"
@@ -191,12 +200,12 @@ def load_sql(schema: CanonicalSchema, cfg: LoadConfig, platform: str) -> str:
     all_sets = ", ".join(f"{q(c)} = s.{q(c)}" for c in rest)
     if d.merge:
         return "\n".join([f"MERGE INTO {target} t", f"USING {latest} s", f"ON {on}", *[f"WHEN MATCHED AND {op} = 'D' THEN {gone}"] * bool(gone), f"WHEN MATCHED AND {op} <> 'D' THEN UPDATE SET {all_sets}", f"WHEN NOT MATCHED AND {op} <> 'D' THEN INSERT ({cols}) VALUES ({pick});"])
-    first = {DeleteStrategy.HARD_DELETE: f"DELETE FROM {target} t USING {latest} s WHERE {on} AND {op} = 'D';", DeleteStrategy.SOFT_DELETE: f"UPDATE {target} t SET {q(cfg.soft_delete_column or '')} = {d.true} FROM {latest} s WHERE {on} AND {op} = 'D';"}.get(cfg.delete_strategy)
-    return block(*[first] * bool(first), f"UPDATE {target} t SET {all_sets} FROM {latest} s WHERE {on} AND {op} <> 'D';", f"INSERT INTO {target} ({cols})\nSELECT {pick} FROM {latest} s\nWHERE {op} <> 'D' AND NOT EXISTS (SELECT 1 FROM {target} t WHERE {on});")
+    first = {DeleteStrategy.HARD_DELETE: delete(latest, f" AND {op} = 'D'"), DeleteStrategy.SOFT_DELETE: update(latest, f"{q(cfg.soft_delete_column or '')} = {d.true}", f" AND {op} = 'D'")}.get(cfg.delete_strategy)
+    return block(*[first] * bool(first), update(latest, all_sets, f" AND {op} <> 'D'"), f"INSERT INTO {target} ({cols})\nSELECT {pick} FROM {latest} s\nWHERE {op} <> 'D' AND NOT EXISTS (SELECT 1 FROM {target} t WHERE {on});")
 
 
 def high_watermark(schema: CanonicalSchema, column: str, platform: str) -> str:
-    return f"SELECT COALESCE(MAX({column}), CAST('1970-01-01' AS TIMESTAMP)) FROM {table_ref(platform, schema.table_name, schema.dataset_name, schema.project_id)};"
+    return f"SELECT COALESCE(MAX({column}), CAST('1970-01-01' AS {dialect(platform).timestamp})) FROM {table_ref(platform, schema.table_name, schema.dataset_name, schema.project_id)};"
 
 
 def copy_text(table: str, path: str, platform: str, file_format: str = "CSV", delimiter: str = ",", header: bool = True, null_string: str = "", iam_role: str = "ROLE", on_error: str = "ABORT_STATEMENT", pattern: str | None = None) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema.canonical import CanonicalSchema, OptimizationHints, from_spark
@@ -37,14 +40,23 @@ def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     return sorted(t.name.lower() for t in spark.catalog.listTables(database) if not t.isTemporary)
 
 
-def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """name, table_type, size_bytes (as far as the optimizer knows it)."""
+def tables(spark: SparkSession, database: str | None = None, counted: bool = False) -> DataFrame:
+    """name, table_type, size_bytes (as far as the optimizer knows it), created (null for
+    views), and row_count: with `counted`, by one count of each table, else null."""
     rows = []
     for t in spark.catalog.listTables(database):
         full = f"{'.'.join(t.namespace)}.{t.name}" if t.namespace else t.name
-        size = int(spark.table(full)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        rows.append((t.name.lower(), t.tableType, size))
-    return spark.createDataFrame(rows, "name string, table_type string, size_bytes decimal(38,0)")
+        size = Decimal(str(spark.table(full)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        made = None if t.isTemporary else _details(spark, full).get("Created Time")
+        rows.append((t.name.lower(), t.tableType, size, made, spark.table(full).count() if counted else None))
+    return spark.createDataFrame(rows, "name string, table_type string, size_bytes decimal(38,0), created string, row_count long")
+
+
+def execute(spark: SparkSession, text: str) -> None:
+    """Run statements that end in semicolons at the end of a line, one after another."""
+    for statement in re.split(r";[ \t]*(?:\n|$)", text):
+        if statement.strip():
+            spark.sql(statement)
 
 
 def databases(spark: SparkSession) -> list[str]:
@@ -63,7 +75,7 @@ def tree(spark: SparkSession) -> dict[str, list[str]]:
 
 
 def create(spark: SparkSession, schema: CanonicalSchema, if_not_exists: bool = False) -> None:
-    spark.sql(create_table(schema, "spark", if_not_exists).rstrip(";"))
+    execute(spark, create_table(schema, "spark", if_not_exists))
 
 
 def analyze(spark: SparkSession, table: str) -> None:

@@ -5,21 +5,32 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.profile import ref
 
 FORMATS = ("csv", "json", "parquet", "orc")
 ON_ERROR = {"ABORT": "FAILFAST", "ABORT_STATEMENT": "FAILFAST", "CONTINUE": "DROPMALFORMED", "SKIP_FILE": "PERMISSIVE"}
+BAD = "_malformed"
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", null_string: str | None = None, encoding: str = "UTF-8", on_error: str = "ABORT", schema=None) -> DataFrame:
-    """All columns as text unless a schema is given: types are decided by one aggregate later, not by a scan of the reader's own."""
+    """All columns as text unless a schema is given: types are decided by one aggregate later,
+    not by a scan of the reader's own. on_error is ABORT, CONTINUE (malformed rows go) or
+    SKIP_FILE (files with a malformed row go as a whole)."""
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error is one of {list(ON_ERROR)}")
     r = spark.read.option("header", header).option("sep", delimiter).option("encoding", encoding).option("mode", ON_ERROR[on_error]).option("multiLine", False)
-    r = r.option("ignoreCorruptFiles", True) if on_error == "SKIP_FILE" else r
     r = r.option("nullValue", null_string) if null_string is not None else r
-    return (r.schema(schema) if schema is not None else r).csv(path)
+    if on_error != "SKIP_FILE":
+        return (r.schema(schema) if schema is not None else r).csv(path)
+    kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema or r.csv(path).schema
+    marked = r.option("columnNameOfCorruptRecord", BAD).option("columnPruning", False).schema(T.StructType([*kinds.fields, T.StructField(BAD, T.StringType())])).csv(path)
+    marked = marked.select("*", F.col("_metadata.file_path").alias("_file"))
+    # the first column is asked for as well, as Spark reads no file for the mark alone
+    bad = marked.filter(F.col(BAD).isNotNull() & (F.length(F.coalesce(ref(kinds.names[0]).cast("string"), F.lit(""))) >= 0)).select(F.col("_file").alias("_bad")).distinct()
+    return marked.join(F.broadcast(bad), F.col("_file") == F.col("_bad"), "left_anti").drop("_file", BAD)  # a row for each bad file
 
 
 def load(spark: SparkSession, path: str, file_format: str = "parquet", pattern: str | None = None, **options) -> DataFrame:

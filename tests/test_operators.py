@@ -170,3 +170,39 @@ def test_stream_equals_batch(spark, tmp_path):
     q = load_stream(spark.readStream.schema("id long, v string").parquet(str(tmp_path / "in")), str(tmp_path / "t"), cfg(L.LoadPattern.UPSERT), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "b"), (2, "c")]
+
+
+def test_skip_file(spark, tmp_path):
+    """A file with a malformed row goes as a whole, with and without a schema."""
+    from quillon.sources import files
+
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    (tmp_path / "b.csv").write_text("k,v\n3,z\n4,w,more\n")
+    (tmp_path / "c.csv").write_text("k,v\n5,u\n")
+    read = lambda **how: sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path), on_error="SKIP_FILE", **how).collect())
+    assert read() == [("1", "x"), ("2", "y"), ("5", "u")]
+    assert read(schema="k int, v string") == [(1, "x"), (2, "y"), (5, "u")]
+    (tmp_path / "c.csv").write_text("k,v\nfive,u\n")
+    assert read(schema="k int, v string") == [(1, "x"), (2, "y")]
+
+
+def test_consistency_of_variants(spark):
+    from quillon.operators import quality
+
+    df = spark.sql("SELECT parse_json(a) AS a, parse_json(b) AS b, c FROM VALUES ('1', '\"x\"', 'p'), ('\"y\"', '\"z\"', 'q'), (NULL, 'null', 'r') t(a, b, c)")
+    assert abs(quality.consistency(df) - 200 / 3) < 1e-9 and quality.consistency(df.select("b", "c")) == 100
+
+
+def test_isolation_sample_holds_values_as_often_as_they_come(spark):
+    from quillon.operators import anomaly
+
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 100 = 0 THEN 50.0 ELSE CAST(id % 3 AS DOUBLE) END AS x")
+    scored = anomaly.isolation_scores(df, "x", trees=10, sample=64).groupBy("x").agg({"isolation_score": "max"}).collect()
+    assert max(scored, key=lambda r: r[1])[0] == 50.0
+
+
+def test_fix_email_at_the_last_sign(spark):
+    from quillon.functions import validate as V
+
+    df = spark.createDataFrame([("A@b@gmial.com",), ("a@gmial.com",)], "e string")
+    assert [r[0] for r in df.select(V.fix_email(df.e)).collect()] == ["a@b@gmail.com", "a@gmail.com"]

@@ -31,7 +31,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(registry.oracle_sql()) if os.environ.get("TEST_ALL") else QUICK)
+@pytest.mark.parametrize("name", list(registry.oracle_sql()) if not os.environ.get("TEST_QUICK") else QUICK)
 def test_query_equals_sql(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     r = duck.sql(registry.oracle_sql()[name])

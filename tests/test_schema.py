@@ -1,10 +1,13 @@
+import re
+
 import pytest
+from pyspark.sql import types as T
 
 from quillon.plans.flow import prepare_for_load
 from quillon.plans.load import DeleteStrategy, LoadConfig, LoadPattern
 from quillon.schema import ddl
 from quillon.schema.canonical import CanonicalSchema, ColumnDefinition, OptimizationHints, from_spark, infer, load_yaml, save_yaml, substitute
-from quillon.schema.types import LogicalType, of_warehouse, physical
+from quillon.schema.types import LogicalType, of_warehouse, physical, physical_of_spark
 from quillon.sources.settings import Settings, check_table_name, hide_secrets, retry
 
 L = LogicalType
@@ -31,7 +34,27 @@ def test_create_table_runs_in_spark(spark, tmp_path):
 @pytest.mark.parametrize("pattern", list(LoadPattern))
 def test_every_pattern_has_sql(platform, pattern):
     cfg = LoadConfig(pattern, ["id"], incremental_column="at", hash_columns=["amount"], delete_strategy=DeleteStrategy.HARD_DELETE)
-    assert "events" in ddl.load_sql(events(), cfg, platform)
+    cfg.lookback_window = "3 days"
+    text = ddl.load_sql(events(), cfg, platform)
+    assert "events" in text
+    if platform == "sqlserver":  # it has no alias in DELETE and UPDATE, no INTERVAL, and TIMESTAMP is a row version there
+        assert not re.search(r"DELETE FROM \S+ t\b|UPDATE \S+\.?\S* t SET|INTERVAL|AS TIMESTAMP", text)
+    if platform == "redshift":
+        assert not re.search(r"DELETE FROM \S+ t\b", text) and "t." not in (text.split("USING")[1].split(";")[0] if "USING" in text else "")
+
+
+def test_statements_of_sqlserver_and_redshift():
+    cfg = LoadConfig(LoadPattern.DELETE_INSERT, ["id"])
+    assert "DELETE t FROM [d].[events] t JOIN [d].[events_staging] s ON t.[id] = s.[id];" in ddl.load_sql(events(), cfg, "sqlserver")
+    assert "DELETE FROM d.events USING d.events_staging s WHERE d.events.id = s.id;" in ddl.load_sql(events(), cfg, "redshift")
+    cfg = LoadConfig(LoadPattern.INCREMENTAL_TIMESTAMP, incremental_column="at", lookback_window="3 days")
+    assert "DATEADD(DAY, -3, (SELECT COALESCE(MAX([at]), CAST('1970-01-01' AS DATETIME2))" in ddl.load_sql(events(), cfg, "sqlserver")
+
+
+def test_narrow_types():
+    assert physical_of_spark(T.ShortType(), "sqlserver") == "SMALLINT" and physical_of_spark(T.ByteType(), "sqlserver") == "TINYINT"
+    assert physical_of_spark(T.FloatType(), "postgresql") == "REAL" and physical_of_spark(T.DayTimeIntervalType(), "postgresql") == "INTERVAL"
+    assert physical_of_spark(T.DecimalType(10, 2), "postgresql") == "NUMERIC(10,2)" and physical_of_spark(T.LongType(), "redshift") == "BIGINT"
 
 
 def test_limits():
