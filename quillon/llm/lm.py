@@ -1,15 +1,17 @@
 """LM scoring (log-frequency Bloom filter).
 
-The model interpolates bigrams with unigrams. Unigram counts are exact: texts are dealt
-into buckets, each bucket sends its distinct words to the segments that sum them, and gets
-their counts back. Bigram counts are quantised on a geometric grid; a bigram of level j
-puts (bigram, 1) to (bigram, j) into a Bloom filter, so probing levels in turn until one is
-missing gives its quantised count. The filter has a segment for each range of hashes and
-grows with the entries. Up to MAX_BYTES it is broadcast; beyond that each bucket sends its
-distinct bigrams to their segments and gets their counts back, which gives the same scores.
-The weight of a bigram depends on how often its first word occurs and is fitted by EM on
-all training tokens, each left out in turn: every bucket counts its tokens by class and by
-the logarithm of the ratio of the bigram's probability to the unigram's, in steps of WIDTH.
+The model interpolates bigrams with unigrams. Texts are packed into buckets of some MB, where
+they stay. Each bucket sends its distinct words and bigrams with their training counts to
+segments of the range of hashes, and gets back what it needs. Unigram counts are summed
+exactly. Bigram counts are quantised on a geometric grid; a bigram of level j puts
+(bigram, 1) to (bigram, j) into the segment's part of a Bloom filter, so probing levels in
+turn until one is missing gives its quantised count. The filter grows with the entries. Up
+to MAX_BYTES it is broadcast and probed by the buckets; beyond that the answers to the same
+probes, which each segment makes as well, are used, with the same scores. Answers come in
+the order of the question, without the hashes. The weight of a bigram depends on how often
+its first word occurs and is fitted by EM on all training tokens, each left out in turn:
+every bucket counts its tokens by class and by the logarithm of the ratio of the bigram's
+probability to the unigram's, in steps of WIDTH.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +56,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def bigrams(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token, and the hash of both."""
+    """The word before each token, and a hash of both (48 bits, as a filter errs more than they do)."""
     before = np.empty_like(t)
     before[1:] = t[:-1]
     before[np.flatnonzero(np.diff(at, prepend=-1))] = START
-    return before, mix(before * U(0x9E3779B97F4A7C15) ^ mix(t))
+    return before, mix(before * U(0x9E3779B97F4A7C15) ^ mix(t)) >> U(16)
 
 
 def counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,121 +121,123 @@ class Filter:
         return out
 
 
-def _pack(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, blob: compressed (doc_id, held, text) tables."""
-    d = docs.select("doc_id", is_held(5, 1).alias("held"), "text", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(buckets)).cast("int").alias("bucket"))
+def _planes(*columns: np.ndarray) -> bytes:
+    """Numbers byte by byte of all of them, which compresses zeros and sorted heads away."""
+    raw = [c.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            bucket = b.column("bucket").to_numpy()
-            order = np.argsort(bucket, kind="stable")
-            found, first = np.unique(bucket[order], return_index=True)
-            for k, own in zip(found, np.split(order, first[1:]) if len(order) else [], strict=True):
-                whole = b.select(["doc_id", "held", "text"]).take(pa.array(own))
-                out = []
-                for i, j in in_chunks(text_buffers(whole.column("text"))[1], CHUNK):
-                    part = whole.slice(i, j - i)
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.schema) as w:
-                        w.write_batch(part)
-                    out.append(z.compress(sink.getvalue()))
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
-    return d.mapInArrow(run, "bucket int, blob binary")
+def _numbers(blob: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view(">u8").ravel().astype(np.uint64) for c in raw]
 
 
-def _unpack(blob: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as r:
-        return r.read_next_batch()
+def _pack(docs: DataFrame, bucket_bytes: int) -> DataFrame:
+    """bucket, blobs: compressed (doc_id, held, text) tables of at most CHUNK bytes each, a
+    longer text alone. A bucket holds texts of one task."""
+    d = docs.select("doc_id", is_held(5, 1).alias("held"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, held, size, made = zstandard.ZstdCompressor(level=3), [], 0, TaskContext.get().partitionId() << 32
 
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([held], pa.list_(pa.binary()))], ["bucket", "blobs"])
 
-def _send(h: np.ndarray, n: np.ndarray, segments: int) -> Iterator[tuple[int, bytes, bytes]]:
+        for b in batches:
+            offsets = text_buffers(b.column("text"))[1]
+            for i, j in in_chunks(offsets, min(CHUNK, bucket_bytes)):
+                part = b.slice(i, j - i)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as w:
+                    w.write_batch(part)
+                held.append(z.compress(sink.getvalue()))
+                size += int(offsets[j] - offsets[i])
+                if size >= bucket_bytes:
+                    yield row()
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield row()
+
+    return d.mapInArrow(run, "bucket long, blobs array<binary>")
+
+
+def _unpack(blobs: Iterator[bytes]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each: the table, its tokens and their rows, the words before, the bigrams, and
+    which tokens are for training."""
+    for blob in blobs:
+        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as r:
+            b = r.read_next_batch()
+        t, at = tokens(*text_buffers(b.column("text")))
+        yield b, t, at, *bigrams(t, at), ~np.asarray(b.column("held").to_numpy(zero_copy_only=False))[at]
+
+
+def _by_segment(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ascending h by segment, the segments found, and where each begins."""
     seg = (h % U(segments)).astype(np.int64)
     order = np.argsort(seg, kind="stable")
     found, first = np.unique(seg[order], return_index=True)
-    for s, own in zip(found, np.split(order, first[1:]) if len(order) else [], strict=True):
-        yield int(s), h[own].tobytes(), n[own].astype("<u4" if n.max(initial=0) > 255 else "u1").tobytes()
+    return order, found, first
+
+
+ROW = "seg int, kind int, bucket long, blob binary"
 
 
-def _numbers(h: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(h, np.uint64)
-    return a, np.frombuffer(n, "u1" if len(n) == len(a) else "<u4").astype(np.int64)
+def _rows(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["seg", "kind", "bucket", "blob"])
 
 
 def _gather(blobs: DataFrame, segments: int) -> DataFrame:
-    """Of each segment: its words' training counts by bucket (kind 0), its part of the
-    filter (kind 1), and the numbers of its training tokens and words (kind 2)."""
-
-    def count(group: pa.Table) -> pa.Table:
-        uni, two, bucket = [], [], group.column("bucket")[0].as_py()
-        for blob in group.column("blob"):
-            b = _unpack(blob.as_py())
-            data, offsets = text_buffers(b.column("text"))
-            t, at = tokens(data, offsets)
-            train = ~np.asarray(b.column("held").to_numpy(zero_copy_only=False))[at]
-            h, n = counted(t, train.astype(np.int64))
-            uni.append((h, n))
-            before, pair = bigrams(t, at)
-            two.append(counted(pair[train]))
-        rows = []
-        for kind, got in ((0, uni), (1, two)):
-            h, n = counted(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
-            rows += [(s, kind, bucket, x, y) for s, x, y in _send(h, n, segments)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["seg", "kind", "bucket", "h", "n"])
+    """Of each segment: the training counts of its words (kind 0) and the filter's counts of
+    its bigrams (kind 3), by bucket in the order of the bucket's hashes; its part of the
+    filter (kind 1, with the number of bits); the numbers of its training tokens and words
+    (kind 2)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, own in zip(batch.column("bucket").to_pylist(), batch.column("blobs"), strict=True):
+                uni, two, rows = [], [], []
+                for _, t, _, _, pair, train in _unpack(own.as_py()):
+                    uni.append(counted(t, train.astype(np.int64)))
+                    two.append(counted(pair, train.astype(np.int64)))
+                for kind, got in ((0, uni), (1, two)):
+                    h, n = counted(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
+                    order, found, first = _by_segment(h, segments)
+                    rows += [(int(g), kind, bucket, _planes(h[o], n[o])) for g, o in zip(found, np.split(order, first[1:]), strict=True)]
+                yield from _rows(rows).to_batches()
 
     def add(group: pa.Table) -> pa.Table:
-        seg = group.column("seg")[0].as_py()
-        uni, two = [], []
-        for kind, bucket, h, n in zip(*(group.column(c).to_pylist() for c in ("kind", "bucket", "h", "n")), strict=True):
-            (two if kind else uni).append((bucket, *_numbers(h, n)))
-        rows = []
-        if uni:
-            h, n = counted(np.concatenate([x for _, x, _ in uni]), np.concatenate([y for *_, y in uni]))
-            rows.append((seg, 2, 0, b"", np.array([n.sum(), (n > 0).sum()], np.int64).tobytes()))
-            for bucket, x, _ in uni:
-                rows.append((seg, 0, bucket, x.tobytes(), n[np.searchsorted(h, x)].tobytes()))
-        if two:
-            h, n = counted(np.concatenate([x for _, x, _ in two]), np.concatenate([y for *_, y in two]))
-            bits, raw = Filter.build(h, n)
-            rows.append((seg, 1, bits, b"", raw.tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["seg", "kind", "bucket", "h", "n"])
-
-    sent = blobs.groupBy("bucket").applyInArrow(count, "seg int, kind int, bucket int, h binary, n binary")
-    return sent.groupBy("seg").applyInArrow(add, "seg int, kind int, bucket long, h binary, n binary")
-
-
-def _probed(blobs: DataFrame, gathered: DataFrame, segments: int) -> DataFrame:
-    """bucket, h, n: the filter's counts of each bucket's distinct bigrams."""
-
-    def ask(group: pa.Table) -> pa.Table:
-        found, bucket = [], group.column("bucket")[0].as_py()
-        for blob in group.column("blob"):
-            found.append(np.unique(bigrams(*tokens(*text_buffers(_unpack(blob.as_py()).column("text"))))[1]))
-        h = np.unique(np.concatenate(found))
-        rows = [(s, bucket, x) for s, x, _ in _send(h, np.zeros(len(h), np.int64), segments)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["seg", "bucket", "h"])
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        f = Filter([(bits, np.frombuffer(raw.as_buffer(), np.uint8)) for bits, raw in zip(right.column("bucket").to_pylist(), right.column("n"), strict=True)])
-        n = [(f.counts(np.frombuffer(x.as_buffer(), np.uint64)) if f.count else np.zeros(len(x.as_buffer()) // 8, np.int64)).tobytes() for x in left.column("h")]
-        return pa.table([left.column("bucket"), left.column("h"), pa.array(n, pa.binary())], names=["bucket", "h", "n"])
-
-    asked = blobs.groupBy("bucket").applyInArrow(ask, "seg int, bucket int, h binary")
-    return asked.groupBy("seg").cogroup(gathered.filter("kind = 1").groupBy("seg")).applyInArrow(answer, "bucket int, h binary, n binary")
+        seg, rows = group.column("seg")[0].as_py(), []
+        sent: dict[int, list] = {0: [], 1: []}
+        for kind, bucket, blob in zip(*(group.column(c) for c in ("kind", "bucket", "blob")), strict=True):
+            sent[kind.as_py()].append((bucket.as_py(), *_numbers(blob.as_py(), 2)))
+        for kind, got in sent.items():
+            if not got:
+                continue
+            h, n = counted(np.concatenate([x for _, x, _ in got]), np.concatenate([y for *_, y in got]).astype(np.int64))
+            if kind == 0:
+                rows.append((seg, 2, 0, _planes(np.array([n.sum(), (n > 0).sum()]))))
+                rows += [(seg, 0, bucket, _planes(n[np.searchsorted(h, x)])) for bucket, x, _ in got]
+            else:
+                bits, raw = Filter.build(h[n > 0], n[n > 0])
+                rows.append((seg, 1, bits, raw.tobytes()))
+                f = Filter([(bits, raw)])
+                rows += [(seg, 3, bucket, _planes(f.counts(x))) for bucket, x, _ in got]
+        return _rows(rows)
+
+    return blobs.mapInArrow(count, ROW).groupBy("seg").applyInArrow(add, ROW)
 
 
 class Counts:
-    """Training counts of a bucket's words or bigrams."""
+    """A bucket's answers by hash. h: all its hashes; t: rows seg, blob of the answers."""
 
-    def __init__(self, t: pa.Table):
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.argsort(h)
-        self.h, self.n = h[order], n[order]
+    def __init__(self, h: np.ndarray, t: pa.Table, segments: int):
+        self.h = np.unique(h)
+        order, _, _ = _by_segment(self.h, segments)
+        got = sorted(zip(t.column("seg").to_pylist(), t.column("blob"), strict=True), key=lambda x: x[0])
+        self.n = np.zeros(len(self.h), np.int64)
+        if len(order):
+            self.n[order] = np.concatenate([_numbers(x.as_py(), 1)[0] for _, x in got]).astype(np.int64)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         return self.n[np.searchsorted(self.h, h)]
@@ -277,41 +282,37 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     spark = df.sparkSession
     docs = documents(df, id_col, text_col)
     size, starts = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 16), F.lit(0)), F.count_if(~is_held(5, 1))).first()
-    buckets, segments = max(1, -(-size // bucket_bytes)), max(1, -(-size // segment_bytes))
-    blobs = cut(_pack(docs, buckets), "op8-texts")
+    segments = max(1, -(-size // segment_bytes))
+    blobs = cut(_pack(docs, bucket_bytes), "op8-texts")
     gathered = cut(_gather(blobs, segments), "op8-counts")
     total, kinds, parts = 0, 0, [(64, np.zeros(8, np.uint8))] * segments
-    for r in gathered.filter("kind = 2").select("n").toLocalIterator():
-        a, b = np.frombuffer(bytes(r.n), np.int64)
+    for r in gathered.filter("kind = 2").select("blob").toLocalIterator():  # two numbers a segment
+        a, b = _numbers(bytes(r.blob), 1)[0]
         total, kinds = total + int(a), kinds + int(b)
-    whole = gathered.filter("kind = 1").agg(F.coalesce(F.sum(F.octet_length("n").cast("long")), F.lit(0))).first()[0] <= max_bytes
-    for r in gathered.filter("kind = 1").select("seg", "bucket", "n").toLocalIterator() if whole else []:
-        parts[r.seg] = (r.bucket, np.frombuffer(bytes(r.n), np.uint8))
+    filters = gathered.filter("kind = 1")
+    whole = filters.agg(F.coalesce(F.sum(F.octet_length("blob").cast("long")), F.lit(0))).first()[0] <= max_bytes
+    for r in filters.select("seg", "bucket", "blob").toLocalIterator() if whole else []:
+        parts[r.seg] = (r.bucket, np.frombuffer(bytes(r.blob), np.uint8))
     bloom = spark.sparkContext.broadcast(Filter(parts)) if whole else None
-    counts = gathered.filter("kind = 0").select(F.col("bucket").cast("int").alias("bucket"), "h", "n", F.lit(0).alias("kind"))
-    probed = None if whole else cut(_probed(blobs, gathered, segments), "op8-bigrams")
-    if probed:
-        counts = counts.unionByName(probed.withColumn("kind", F.lit(1)))
+    counts = gathered.filter("kind = 0" if whole else "kind in (0, 3)").select("bucket", "seg", "kind", "blob")
 
     def each(left: pa.Table, right: pa.Table):
-        is_two = np.asarray(right.column("kind").to_numpy()) == 1
-        look = Counts(right.filter(pa.array(~is_two)))
-        two = bloom.value.counts if whole else Counts(right.filter(pa.array(is_two)))
-        for blob in left.column("blob"):
-            b = _unpack(blob.as_py())
-            data, offsets = text_buffers(b.column("text"))
-            t, at = tokens(data, offsets)
-            before, pair = bigrams(t, at)
+        is_two = np.asarray(right.column("kind").to_numpy()) == 3
+        held = [x for own in left.column("blobs") for x in _unpack(own.as_py())]
+        none = np.zeros(0, np.uint64)
+        look = Counts(np.concatenate([none, *(t for _, t, *_ in held)]), right.filter(pa.array(~is_two)), segments)
+        two = bloom.value.counts if whole else Counts(np.concatenate([none, *(x[4] for x in held)]), right.filter(pa.array(is_two)), segments)
+        while held:
+            b, t, at, before, pair, train = held.pop(0)
             c = look(t)
             c1 = np.empty_like(c)
             c1[1:] = c[:-1]
             c1[before == START] = starts
-            yield b, at, c, c1, two(pair)
+            yield b, at, train, c, c1, two(pair)
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         n = np.zeros(CLASSES * CELLS, np.int64)
-        for b, at, c, c1, q in each(left, right):
-            train = ~np.asarray(b.column("held").to_numpy(zero_copy_only=False))[at]
+        for _, _, train, c, c1, q in each(left, right):
             n += cells(c[train], c1[train], q[train], total, kinds)
         cell = np.flatnonzero(n)
         return pa.table({"cell": pa.array(cell, pa.int32()), "n": pa.array(n[cell])})
@@ -324,7 +325,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for b, at, c, c1, q in each(left, right):
+        for b, at, _, c, c1, q in each(left, right):
             rows = b.num_rows
             p1 = (c + 0.5) / (total + 0.5 * (kinds + 1))
             w = np.where(c1 > 0, weight[np.minimum(level(c1), CLASSES - 1)], 0.0)
@@ -336,7 +337,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     out = cut(texts.cogroup(looked).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "op8-scores")
     if bloom:
         bloom.destroy()
-    release(blobs, gathered, *([probed] if probed else []))
+    release(blobs, gathered)
     return out
 
 
