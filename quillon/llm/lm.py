@@ -214,33 +214,30 @@ def _gather(blobs: DataFrame, segments: int) -> DataFrame:
         for kind, got in sent.items():
             if not got:
                 continue
-            h, n = counted(np.concatenate([x for _, x, _ in got]), np.concatenate([y for *_, y in got]).astype(np.int64))
+            h, at = np.unique(np.concatenate([x for _, x, _ in got]), return_inverse=True)
+            n = np.zeros(len(h), np.int64)
+            np.add.at(n, at, np.concatenate([y for *_, y in got]).astype(np.int64))
             if kind == 0:
                 rows.append((seg, 2, 0, _planes(np.array([n.sum(), (n > 0).sum()]))))
-                rows += [(seg, 0, bucket, _planes(n[np.searchsorted(h, x)])) for bucket, x, _ in got]
             else:
                 bits, raw = Filter.build(h[n > 0], n[n > 0])
                 rows.append((seg, 1, bits, raw.tobytes()))
-                f = Filter([(bits, raw)])
-                rows += [(seg, 3, bucket, _planes(f.counts(x))) for bucket, x, _ in got]
+                n = Filter([(bits, raw)]).counts(h)
+            back = np.split(n[at], np.cumsum([len(x) for _, x, _ in got])[:-1])
+            rows += [(seg, 3 * kind, bucket, _planes(x)) for (bucket, *_), x in zip(got, back, strict=True)]
         return _rows(rows)
 
     return blobs.mapInArrow(count, ROW).groupBy("seg").applyInArrow(add, ROW)
 
 
-class Counts:
-    """A bucket's answers by hash. h: all its hashes; t: rows seg, blob of the answers."""
-
-    def __init__(self, h: np.ndarray, t: pa.Table, segments: int):
-        self.h = np.unique(h)
-        order, _, _ = _by_segment(self.h, segments)
+def _answers(h: np.ndarray, t: pa.Table, segments: int) -> np.ndarray:
+    """The answer for each hash of a bucket, from rows seg, blob."""
+    found, at = np.unique(h, return_inverse=True)
+    n = np.zeros(len(found), np.int64)
+    if len(found):
         got = sorted(zip(t.column("seg").to_pylist(), t.column("blob"), strict=True), key=lambda x: x[0])
-        self.n = np.zeros(len(self.h), np.int64)
-        if len(order):
-            self.n[order] = np.concatenate([_numbers(x.as_py(), 1)[0] for _, x in got]).astype(np.int64)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        return self.n[np.searchsorted(self.h, h)]
+        n[_by_segment(found, segments)[0]] = np.concatenate([_numbers(x.as_py(), 1)[0] for _, x in got]).astype(np.int64)
+    return n[at]
 
 
 def cells(c: np.ndarray, c1: np.ndarray, q: np.ndarray, total: int, kinds: int) -> np.ndarray:
@@ -300,15 +297,21 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
         is_two = np.asarray(right.column("kind").to_numpy()) == 3
         held = [x for own in left.column("blobs") for x in _unpack(own.as_py())]
         none = np.zeros(0, np.uint64)
-        look = Counts(np.concatenate([none, *(t for _, t, *_ in held)]), right.filter(pa.array(~is_two)), segments)
-        two = bloom.value.counts if whole else Counts(np.concatenate([none, *(x[4] for x in held)]), right.filter(pa.array(is_two)), segments)
-        while held:
-            b, t, at, before, pair, train = held.pop(0)
-            c = look(t)
+        counted_words = _answers(np.concatenate([none, *(t for _, t, *_ in held)]), right.filter(pa.array(~is_two)), segments)
+        pairs = np.concatenate([none, *(x[4] for x in held)])
+        if whole:
+            found, place = np.unique(pairs, return_inverse=True)
+            counted_pairs = bloom.value.counts(found)[place]
+        else:
+            counted_pairs = _answers(pairs, right.filter(pa.array(is_two)), segments)
+        i = 0
+        for b, t, at, before, _, train in held:
+            c, q = counted_words[i : i + len(t)], counted_pairs[i : i + len(t)]
+            i += len(t)
             c1 = np.empty_like(c)
             c1[1:] = c[:-1]
             c1[before == START] = starts
-            yield b, at, train, c, c1, two(pair)
+            yield b, at, train, c, c1, q
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         n = np.zeros(CLASSES * CELLS, np.int64)
