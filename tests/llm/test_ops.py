@@ -377,6 +377,24 @@ def test_html(spark):
     assert html.extract_text(df.limit(0), html.learn(df.limit(0))).count() == 0
 
 
+def test_html_of_several_layouts(spark):
+    """Labelled pages of one layout; pages of others, where nothing of the article may go."""
+    site = "<html><body><nav><ul><li>Home<li>About us</ul></nav><div class='promo big'>Best price today</div><article><h1>Title</h1><p>%s</article><div class='talk'><p>I agree with this</div><footer>All rights</footer></body></html>"
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, "u", site % " ".join(prose(rng, 60))) for i in range(30)], "page_id long, url string, html string")
+    learned = html.learn(df)
+    assert {"c:promo", "c:talk", "e:nav", "e:footer"} <= learned.bad and not {"e:li", "e:ul", "e:p", "e:div", "e:article"} & learned.bad
+    text = lambda body: html.extract(f"<html><body>{body}</body></html>", learned)
+    long = " ".join(prose(rng, 40))
+    assert text(f"<article><p>{long}<ul><li>one thing<li>another thing</ul><table><tr><td>a cell<td>b cell<tr><td>c cell</table><p>{long}</article>") == "\n\n".join([long, "one thing", "another thing", "a cell", "b cell", "c cell", long])
+    assert text(f"<article><p class='promo'>Buy now<div>{long}</div></article>") == long
+    assert text(f"<section class='related-work'><p>{long}</section>") == long
+    assert text(f"<div class='post-header-menu-less'>{long}</div>") == long
+    assert text(f"<header>Site name</header><main><header><h1>The title</h1></header><p>{long}</main><aside>Other news</aside>") == f"The title\n\n{long}"
+    assert text(f"<form>Your name</form><div id=x><b><p>{long}</b> and <i>m</i>ore</div><div class='comments'>No!</div>") == f"{long} and more"
+    assert html.extract("<nav>Menu</nav><p>Text", html.weights(iter(()))) == "Text"
+
+
 def test_lm(spark, rows):
     got = lm.lm_scores(make(spark, rows), bucket_bytes=30000, segment_bytes=40000)
     assert got.count() == len(rows)
