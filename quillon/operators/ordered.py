@@ -46,16 +46,17 @@ def running_sum(df: DataFrame, order: str, weight: Column, name: str, *ties: str
 def carried(df: DataFrame, columns: list[str], order: str, forward: bool = True, keys: list[str] | None = None) -> DataFrame:
     """Nulls of these columns take the last (forward) or next value in order, within keys if
     given. Where rows tie in order, which of them comes first is open: give a unique order."""
-    pick, side = (F.last, Window.unboundedPreceding) if forward else (F.first, Window.unboundedFollowing)
-    frame = lambda w: w.rowsBetween(side, 0) if forward else w.rowsBetween(0, side)
+    # backward is forward in reversed order: Spark computes a frame that ends unbounded anew for each row
+    at = F.asc_nulls_first(order) if forward else F.desc_nulls_last(order)
+    frame = lambda w: w.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     if keys:
-        w = frame(Window.partitionBy(*keys).orderBy(order))
-        return df.withColumns({c: pick(c, True).over(w) for c in columns})
+        w = frame(Window.partitionBy(*keys))
+        return df.withColumns({c: F.last(c, True).over(w) for c in columns})
     d = with_range(df, order)
-    w = frame(Window.partitionBy("_range").orderBy(order))
+    w = frame(Window.partitionBy("_range"))
     last = F.max_by if forward else F.min_by
     ends = d.groupBy("_range").agg(*[last(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{i}") for i, c in enumerate(columns)])
-    out = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if forward else Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    beyond = ends.select("_range", *[pick(f"_{i}", True).over(out).alias(f"_b{i}") for i in range(len(columns))])  # RANGES rows
-    filled = d.withColumns({c: pick(c, True).over(w) for c in columns}).join(F.broadcast(beyond), "_range")
+    out = Window.orderBy("_range" if forward else F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = ends.select("_range", *[F.last(f"_{i}", True).over(out).alias(f"_b{i}") for i in range(len(columns))])  # RANGES rows
+    filled = d.withColumns({c: F.last(c, True).over(w) for c in columns}).join(F.broadcast(beyond), "_range")
     return filled.select(*[F.coalesce(c, f"_b{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])

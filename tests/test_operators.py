@@ -206,3 +206,14 @@ def test_fix_email_at_the_last_sign(spark):
 
     df = spark.createDataFrame([("A@b@gmial.com",), ("a@gmial.com",)], "e string")
     assert [r[0] for r in df.select(V.fix_email(df.e)).collect()] == ["a@b@gmail.com", "a@gmail.com"]
+
+
+def test_backward_fill_costs_as_much_as_forward(spark):
+    """No frame may end unbounded: Spark walks such a frame again for each row."""
+    rows = [(i % 2, None if i == 7 else i, i if i % 5 == 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, at int, v int")
+    for keys in (None, ["k"]):
+        got = impute.fill_missing(df, "bfill", ["v"], order_by="at", keys=keys)
+        assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+        want = [(k, at, next((x[2] for x in sorted(rows, key=lambda x: -1 if x[1] is None else x[1]) if x[2] is not None and (x[1] or 0) >= (at or 0) and (not keys or x[0] == k)), None)) for k, at, _ in rows]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
