@@ -217,3 +217,37 @@ def test_backward_fill_costs_as_much_as_forward(spark):
         assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
         want = [(k, at, next((x[2] for x in sorted(rows, key=lambda x: -1 if x[1] is None else x[1]) if x[2] is not None and (x[1] or 0) >= (at or 0) and (not keys or x[0] == k)), None)) for k, at, _ in rows]
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_knn_equals_brute_force(spark):
+    """With many blocks, gaps everywhere and ties; copies of rows are compared once."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.integers(0, 6, (150, 3)), rng.normal(3, 2, (150, 3))]), 3)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    m, k, want = 3, 4, []
+    for row in x:
+        n = (~np.isnan(x - row)).sum(1)
+        dist = np.where(n > 0, np.sqrt(np.nansum((x - row) ** 2, 1) * m / np.maximum(n, 1)), np.inf)
+        full = row.copy()
+        for c in np.flatnonzero(np.isnan(row)):
+            ok = np.flatnonzero(~np.isnan(x[:, c]) & np.isfinite(dist))
+            best = ok[np.lexsort((x[ok, c], dist[ok]))[:k]]
+            full[c] = x[best, c].mean() if len(best) else np.nanmean(x[:, c])
+        want.append(full)
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "i int, a double, b double, c double")
+    for block in (40, 20_000):
+        got = sorted(impute.knn_impute(df, ["a", "b", "c"], k, block).collect())
+        assert np.allclose([tuple(r)[1:] for r in got], want) and [r.i for r in got] == list(range(300))
+
+
+def test_knn_keeps_of_equal_donors_as_many_as_can_be_taken(spark):
+    seen = []
+    nearest = impute._nearest
+    impute._nearest = lambda holes, donors, *a: (seen.append((holes, donors)), nearest(holes, donors, *a))[1]
+    try:
+        df = spark.range(3000).selectExpr("id", "CAST(id % 3 AS DOUBLE) AS a", "CASE WHEN id % 20 <> 0 THEN CAST(id AS DOUBLE) END AS b")
+        got = impute.knn_impute(df, ["a", "b"], 5).collect()
+    finally:
+        impute._nearest = nearest
+    assert seen[0][0].count() == 3 and seen[0][1].count() == 15
+    assert {r.b for r in got if r.id % 60 == 0} == {sum((3, 6, 9, 12, 15)) / 5}
