@@ -11,23 +11,23 @@ from pyspark.sql import functions as F
 
 from .ordered import carried
 from .profile import missing, numeric_columns, present, ref, value_counts
+from .quantiles import quantiles
 
 #: Donors are compared in blocks of so many rows, with so many rows with gaps in one task.
 BLOCK, CHUNK = 20_000, 20_000
 
 
 def _fills(df: DataFrame, kinds: dict[str, str]) -> dict:
-    """The value for each column with gaps by mean, median or mode, in one aggregate."""
-    def value(c: str, how: str):
-        if how == "mean":
-            return F.avg(present(df, c))
-        if how == "median":
-            return F.percentile(present(df, c), F.lit(0.5))
-        return F.mode(F.when(~missing(df, c), ref(c)), True)  # the least of equally frequent ones
-
+    """The value for each column with gaps by mean, median or mode."""
     names = list(kinds)
-    row = df.agg(*[value(c, kinds[c]).alias(f"_{i}") for i, c in enumerate(names)], *[F.count_if(missing(df, c)).alias(f"_n{i}") for i, c in enumerate(names)]).first() if names else []
-    return {c: row[i] for i, c in enumerate(names) if row[i] is not None and row[len(names) + i]}
+    row = df.agg(*[F.avg(present(df, c)) if kinds[c] == "mean" else F.lit(None) for c in names], *[F.count_if(missing(df, c)) for c in names]).first() if names else []
+    gaps = [c for i, c in enumerate(names) if row[len(names) + i]]
+    out = {c: row[i] for i, c in enumerate(names)} | {c: v[0] for c, v in quantiles(df, {c: [0.5] for c in gaps if kinds[c] == "median"}).items()}
+    for c in gaps:
+        if kinds[c] == "mode":  # the least of equally frequent ones
+            best = df.filter(~missing(df, c)).groupBy(ref(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first()
+            out[c] = best and best.v
+    return {c: out[c] for c in gaps if out[c] is not None}
 
 
 def _filled(df: DataFrame, values: dict) -> DataFrame:

@@ -251,3 +251,29 @@ def test_knn_keeps_of_equal_donors_as_many_as_can_be_taken(spark):
         impute._nearest = nearest
     assert seen[0][0].count() == 3 and seen[0][1].count() == 15
     assert {r.b for r in got if r.id % 60 == 0} == {sum((3, 6, 9, 12, 15)) / 5}
+
+
+def test_quantiles_equal_percentile(spark):
+    """With intervals of any size, ties, infinite and missing values."""
+    from quillon.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(a), float(b), int(c), None, None if i % 3 else float(a) * 1e300 * 1e10) for i, (a, b, c) in enumerate(zip(rng.lognormal(0, 9, 3000), rng.integers(0, 2, 3000), rng.integers(0, 9, 3000), strict=True))] + [(float("nan"), None, None, None, 0.0)], "a double, b double, c int, d double, e double")
+    ps = [0.0, 0.25, 0.5, 0.749, 1.0]
+    want = df.agg(*[F.percentile(P.present(df, c), F.array(*map(F.lit, ps))) for c in df.columns]).first()
+    for limit in (1, 50, 100_000):
+        assert repr(quantiles(df, dict.fromkeys(df.columns, ps), limit)) == repr({c: [None] * 5 if want[i] is None else [float(v) for v in want[i]] for i, c in enumerate(df.columns)})
+
+
+@pytest.mark.parametrize("make", [
+    lambda df: impute.fill_missing(df),
+    lambda df: impute.fill_missing(df, "mode"),
+])
+def test_no_task_gets_all_distinct_values(spark, make, monkeypatch):
+    """Neither percentile nor mode, whose states grow with the distinct values."""
+    seen = []
+    for name in ("percentile", "median", "mode"):
+        monkeypatch.setattr(F, name, lambda *a, name=name, f=getattr(F, name): seen.append(name) or f(*a))
+    df = spark.range(100).selectExpr("nullif(CAST(id AS DOUBLE), 3D) AS x", "nullif(CAST(id AS STRING), '3') AS s")
+    make(df).collect()
+    assert not seen
