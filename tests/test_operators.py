@@ -268,6 +268,7 @@ def test_quantiles_equal_percentile(spark):
 @pytest.mark.parametrize("make", [
     lambda df: impute.fill_missing(df),
     lambda df: impute.fill_missing(df, "mode"),
+    lambda df: impute.fill_missing(df, "median"),
 ])
 def test_no_task_gets_all_distinct_values(spark, make, monkeypatch):
     """Neither percentile nor mode, whose states grow with the distinct values."""
