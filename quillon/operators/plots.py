@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .correlate import matrix, pearson, target_correlation
 from .profile import missing_values, present, ref, top_values
+from .quantiles import quantiles
 
 __all__ = ["box", "compare", "heatmap", "histogram", "missing_bars", "scatter", "target_bars", "time_series", "trend", "value_bars"]
 
@@ -25,8 +26,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def box(df: DataFrame, column: str) -> DataFrame:
     """q25, median, q75, the whiskers (furthest values within 1.5 spreads), outliers."""
     x = present(df, column)
-    q = df.agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))).first()[0] or [None] * 3
-    a, m, b = (F.lit(v).cast("double") for v in q)
+    a, m, b = (F.lit(v).cast("double") for v in quantiles(df, {column: [0.25, 0.5, 0.75]})[column])
     low, high = a - 1.5 * (b - a), b + 1.5 * (b - a)
     return df.agg(F.any_value(a).alias("q25"), F.any_value(m).alias("median"), F.any_value(b).alias("q75"), F.min(F.when(x >= low, x)).alias("low_whisker"), F.max(F.when(x <= high, x)).alias("high_whisker"), F.count_if((x < low) | (x > high)).alias("outliers"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, text
-from quillon.operators import anomaly, correlate, dedup, encode, impute, keys, quality, validation
+from quillon.operators import anomaly, correlate, dedup, encode, impute, keys, plots, quality, validation
 from quillon.operators import profile as P
 from quillon.operators.pipeline import Pipeline
 from quillon.plans import load as L
@@ -269,6 +269,7 @@ def test_quantiles_equal_percentile(spark):
     lambda df: impute.fill_missing(df),
     lambda df: impute.fill_missing(df, "mode"),
     lambda df: impute.fill_missing(df, "median"),
+    lambda df: plots.box(df, "x"),
 ])
 def test_no_task_gets_all_distinct_values(spark, make, monkeypatch):
     """Neither percentile nor mode, whose states grow with the distinct values."""
