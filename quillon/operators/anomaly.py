@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profile import moments, numeric_columns, present, ref, tidy
+from .quantiles import quantiles
 
 
 def bounds(df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns: list[str] | None = None) -> DataFrame:
     """column_name, low, high: values outside are outliers. A column without spread has none."""
     if method == "iqr":
-        q = {c: F.percentile(present(df, c), F.array(F.lit(0.25), F.lit(0.75))) for c in numeric_columns(df, columns)}
-        p = tidy(df, {c: {"q25": v[0], "q75": v[1]} for c, v in q.items()})
+        q = quantiles(df, {c: [0.25, 0.75] for c in numeric_columns(df, columns)})
+        p = df.sparkSession.createDataFrame([(c, *v) for c, v in q.items()], "column_name string, q25 double, q75 double")
         spread = F.col("q75") - F.col("q25")
         return p.select("column_name", (F.col("q25") - threshold * spread).alias("low"), (F.col("q75") + threshold * spread).alias("high"))
     if method == "zscore":
@@ -92,7 +93,9 @@ def isolation_scores(df: DataFrame, column: str, trees: int = 100, sample: int =
 def isolation_outliers(df: DataFrame, column: str, contamination: float = 0.1, **how) -> DataFrame:
     """The rows whose score lies above the (1 - contamination) quantile."""
     scored = isolation_scores(df, column, **how)
-    limit = scored.agg(F.percentile("isolation_score", F.lit(1 - contamination))).first()[0]
+    kept = scored.select("isolation_score").persist()
+    limit = quantiles(kept, {"isolation_score": [1 - contamination]})["isolation_score"][0]
+    kept.unpersist()
     return scored.filter(F.col("isolation_score") > limit) if limit is not None else scored.limit(0)
 
 
