@@ -271,6 +271,7 @@ def test_quantiles_equal_percentile(spark):
     lambda df: impute.fill_missing(df, "median"),
     lambda df: plots.box(df, "x"),
     lambda df: anomaly.outliers(df, "iqr"),
+    lambda df: P.numeric_profile(df),
 ])
 def test_no_task_gets_all_distinct_values(spark, make, monkeypatch):
     """Neither percentile nor mode, whose states grow with the distinct values."""
