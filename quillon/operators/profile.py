@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+#: By so many parts distinct_sets sees whether values are spread evenly.
+BUCKETS = 64
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -140,11 +142,56 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
     cols = columns or df.columns
     if approximate:
         return tidy(df, {c: {"unique_count": F.approx_count_distinct(F.when(~missing(df, c), _text(df, c)))} for c in cols})
-    n = value_counts(df, cols).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    n = distinct_sets(df, [(c,) for c in cols]).select(F.element_at(F.array(*map(F.lit, cols)), F.col("i") + 1).alias("column_name"), F.col("n").alias("unique_count"))
     every = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
     return every.join(F.broadcast(n), "column_name", "left").na.fill(0, ["unique_count"])
 
 
+def _typed(df: DataFrame, name: str) -> tuple[str, Column]:
+    """The type in which values are compared, and the value in it; whole numbers share one."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return "bigint", ref(name).cast("bigint")
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return "double", ref(name).cast("double")
+    if isinstance(kind, T.DecimalType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType) or kind == T.StringType():
+        return kind.simpleString(), ref(name)
+    return "text", _text(df, name)
+
+
+def distinct_sets(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """i, n: of each set of columns (by its place) with rows that lack none of them, how many
+    differ. Values keep their types, as they are smaller and quicker to compare than texts;
+    sets of the same types go through one exchange."""
+    cells, alike = [], {}
+    for i, cols in enumerate(sets):
+        typed = sorted((_typed(df, c) for c in cols), key=lambda t: t[0])
+        there = ~missing(df, cols[0])
+        for c in cols[1:]:
+            there = there & ~missing(df, c)
+        values = [v for _, v in typed]
+        cells.append(F.when(there, F.struct(F.lit(i).alias("i"), F.xxhash64(*values).alias("h"))))
+        alike.setdefault(tuple(t for t, _ in typed), []).append((i, F.when(there, F.struct(F.lit(i).alias("i"), *[v.alias(f"v{k}") for k, v in enumerate(values)]))))
+    # where most values differ, maps of them before the exchange save nothing and spill; where few
+    # do, or one comes often, they keep its rows from going to one task
+    sizes: dict[int, list] = {}
+    for r in df.select(F.inline(F.array(*cells))).filter("i is not null").groupBy("i", F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("u")).collect():
+        sizes.setdefault(r.i, []).append((r.n, r.u))
+    total = {i: sum(n for n, _ in own) for i, own in sizes.items()}
+    even = {i for i, own in sizes.items() if sum(u for _, u in own) > total[i] / 2 and max(n for n, _ in own) < 2 * total[i] / BUCKETS}
+    out = None
+    for kinds, own in alike.items():
+        for direct in (True, False):
+            some = [c for i, c in own if (i in even) == direct]
+            if not some:
+                continue
+            rows = df.select(F.inline(F.array(*some))).filter("i is not null")
+            rows = rows.repartition("i", *[f"v{k}" for k in range(len(kinds))]) if direct else rows
+            n = rows.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+            out = n if out is None else out.unionByName(n)
+    return out
+
+
 def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, null_count, null_pct, mostly_missing (over half), complete."""
     rows = F.count(F.lit(1))

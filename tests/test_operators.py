@@ -281,3 +281,20 @@ def test_no_task_gets_all_distinct_values(spark, make, monkeypatch):
     df = spark.range(100).selectExpr("nullif(CAST(id AS DOUBLE), 3D) AS x", "nullif(CAST(id AS STRING), '3') AS s")
     make(df).collect()
     assert not seen
+
+
+def test_distinct_values_keep_their_types(spark):
+    """No value goes through the exchange as text or hash; rows that lack one don't count."""
+    df = spark.range(20000).selectExpr("id", "CAST(id % 7 AS INT) AS few", "IF(id % 2 = 0, 5, id) AS hot", "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN double('NaN') ELSE id % 10 * 0D END AS x", "CAST(id % 3 AS STRING) AS s", "array(id % 2) AS a", "CAST(NULL AS DATE) AS never")
+    assert {r.column_name: r.unique_count for r in P.distinct_counts(df).collect()} == {"id": 20000, "few": 7, "hot": 10000, "x": 1, "s": 3, "a": 2, "never": 0}
+    sets = [("id", "few"), ("few", "hot"), ("s", "few"), ("few", "s"), ("id", "x"), ("id", "never")]
+    got = keys.combination_stats(df, sets)
+    assert {r.column_name: (r.cardinality, r.completeness) for r in got.collect()} == {"id,few": (20000, 1), "few,hot": (10006, 1), "s,few": (21, 1), "few,s": (21, 1), "id,x": (10000, 0.5), "id,never": (0, 0)}
+
+
+def test_only_even_sets_are_grouped_after_the_exchange(spark):
+    """Maps before it would hold nearly all rows of a set without repeats, but are needed for few or frequent values."""
+    df = spark.range(20000).selectExpr("id", "id % 7 AS few", "IF(id % 2 = 0, 5, id) AS hot")
+    for cols, direct in (("id", True), ("few", False), ("hot", False)):
+        plan = P.distinct_sets(df, [(cols,)])._jdf.queryExecution().toString()
+        assert ("RepartitionByExpression" in plan) == direct
