@@ -76,6 +76,6 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], limit: int = LIMIT)
 
     def between(i: int, at: float) -> float:
         low, high = value[i, floor(at)], value[i, ceil(at)]
-        return low if low == high else (ceil(at) - at) * low + (at - floor(at)) * high
+        return low + 0.0 if low == high else (ceil(at) - at) * low + (at - floor(at)) * high  # no -0.0, as either zero may be found
 
     return {c: [between(i, at) for at in places[i]] if n[i] else [None] * len(ps) for i, (c, ps) in enumerate(wanted.items())}

@@ -283,6 +283,33 @@ def test_no_task_gets_all_distinct_values(spark, make, monkeypatch):
     assert not seen
 
 
+def test_a_task_of_the_median_reads_no_more_of_more_values(spark):
+    """Bytes that the largest task reads of others, with as many distinct values as rows."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i) for i in range(found.size())}
+
+    for n in (100_000, 800_000):
+        seen = stages()
+        df = spark.range(0, n, 1, 4).selectExpr("CASE WHEN id % 8 <> 0 THEN id * 2654435761 % 4294967291 / 8D END AS x", "id")
+        got = impute.fill_missing(df, "median").filter("id % 8 = 0").agg(F.min("x"), F.max("x"), F.count("x")).first()
+        ids = np.arange(n)
+        assert tuple(got) == (*[np.median((ids * 2654435761 % 4294967291 / 8)[ids % 8 != 0])] * 2, n // 8)
+        assert 0 < max(s.shuffleReadBytes() / s.numTasks() for i, s in stages().items() if i not in seen) < 1_000_000
+
+
+def test_quantiles_have_no_negative_zero(spark):
+    """The two zeros are equal, so that which one is met first would decide."""
+    from quillon.operators.quantiles import quantiles
+
+    df = spark.range(100).selectExpr("IF(id < 60, -0D, 0D) AS x")
+    for limit in (1, 100_000):
+        assert repr(quantiles(df, {"x": [0.0, 0.5, 1.0]}, limit)) == repr({"x": [0.0] * 3})
+
+
 def test_distinct_values_keep_their_types(spark):
     """No value goes through the exchange as text or hash; rows that lack one don't count."""
     df = spark.range(20000).selectExpr("id", "CAST(id % 7 AS INT) AS few", "IF(id % 2 = 0, 5, id) AS hot", "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN double('NaN') ELSE id % 10 * 0D END AS x", "CAST(id % 3 AS STRING) AS s", "array(id % 2) AS a", "CAST(NULL AS DATE) AS never")
